@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
@@ -17,6 +17,9 @@ from .license_scan import TEMPLATES, bigrams_of, bounds, license_scan
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .packing import pack
+from .topk_search import top_k
+from .toxicity import score, train
+from .warc import warc_round_trip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +35,22 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _fold() -> Column:
+    """crc32 of the id as text, modulo 5: remainder 0 is held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=_fold() != 0)
+    out = score(docs, machine)
+    return out.select("doc_id", (_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", "worst")
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_documents(spark, sf_dir))
 
@@ -44,6 +63,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _OP2 = r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
@@ -143,10 +167,22 @@ from norm join grouped on norm.t = grouped.t
 """
 
 
+_OP5 = """
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x::double)))),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_line_dedup, op3_mix_sources, op6_license_scan, op8_packing, op9_exact_dedup]
+    found = [op2_line_dedup, op3_mix_sources, op4_toxicity, op5_topk_search, op6_license_scan, op8_packing, op9_exact_dedup, op10_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op3_mix_sources": _OP3, "op6_license_scan": _op6(), "op9_exact_dedup": _OP9}
+    return {"op2_line_dedup": _OP2, "op3_mix_sources": _OP3, "op5_topk_search": _OP5, "op6_license_scan": _op6(), "op9_exact_dedup": _OP9}
