@@ -1 +1,8 @@
 """Spark-native engine for web-search analytics."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so that executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
