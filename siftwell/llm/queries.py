@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .jaccard_join import near_classes
 from .license_scan import TEMPLATES, bigrams_of, bounds, license_scan
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -55,6 +56,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -180,7 +185,7 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_line_dedup, op3_mix_sources, op4_toxicity, op5_topk_search, op6_license_scan, op8_packing, op9_exact_dedup, op10_warc]
+    found = [op2_line_dedup, op3_mix_sources, op4_toxicity, op5_topk_search, op6_license_scan, op7_ngram_jaccard_join, op8_packing, op9_exact_dedup, op10_warc]
     return {f.__name__: f for f in found}
 
 
