@@ -196,7 +196,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b").distinct()
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, least_heavy: int = 4, most_heavy: int = 1 << 17, most_runs: int = 4096) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, least_heavy: int = 4, most_heavy: int = 1 << 17, most_runs: int = 4096) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

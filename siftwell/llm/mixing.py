@@ -84,8 +84,12 @@ def apportion(claims: DataFrame, group: list[str], name: list[str], votes: str,
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", shard_words: int = 65536, most_shards: int = 4096, most_block: int = 256) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, shard, block, quota, taken."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    """One row for each document: doc_id, source, size, source_size, target, shard, block, quota, taken, parts.
+
+    parts: the stretches of the document that the mix takes, as (first, stop) of its words;
+    a document taken twice has two.  text_hash tells rows of one doc_id apart.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
     rows = stored(rows, "mix-sizes")
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
 
@@ -117,8 +121,32 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = met.withColumn("turns", F.floor(F.col("take") / span)).withColumn("arc", F.col("take") % span).withColumn("start", start)
 
     def overlap(lo: Column, hi: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.col("stop"), hi) - F.greatest(F.col("stop") - F.col("size"), lo))
+        first = F.col("stop") - F.col("size")
+        return F.struct((F.greatest(first, lo) - first).cast("long").alias("first"), (F.least(F.col("stop"), hi) - first).cast("long").alias("stop"))
 
     arc_end = F.col("start") + F.col("arc")
-    taken = F.col("turns") * F.col("size") + overlap(F.col("start"), F.least(arc_end, span)) + overlap(F.lit(0), arc_end - span)
-    return met.select("doc_id", "source", "size", "source_size", "target", "shard", "block", "quota", taken.cast("long").alias("taken"))
+    whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("stop"))
+    arcs = F.array(overlap(F.col("start"), F.least(arc_end, span)), overlap(F.lit(0), arc_end - span))
+    parts = F.filter(F.concat(F.array_repeat(whole, F.col("turns").cast("int")), arcs), lambda x: x["stop"] > x["first"])
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["first"])
+    return met.withColumn("parts", parts).select("doc_id", "source", "size", "source_size", "target", "shard", "block", "quota", taken.alias("taken"), "parts", "text_hash")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: a row for each stretch taken, with the columns of ``docs`` and the text cut to it.
+
+    Documents without words are left out, as there is nothing to take of them.
+    """
+    taken = mix_sources(docs, id_col, text_col, source_col, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("parts").alias("_parts"), F.col("size").alias("_size"))
+    # Rows that repeat one id and text are counted off on both sides, so that each meets one of the others.
+    taken = taken.withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_size", F.to_json("_parts"))))
+    rows = docs.withColumn("_own_id", F.col(id_col).cast("long")).withColumn("_own_hash", F.xxhash64(text_col))
+    rows = rows.withColumn("_own_turn", F.row_number().over(Window.partitionBy("_own_id", "_own_hash").orderBy("_own_id")))
+    on = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")) & (F.col("_own_turn") - F.col("_turn") == 0)
+    met = rows.join(taken, on).withColumn("_part", F.explode("_parts"))
+    stretch = F.slice(F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), (F.col("_part.first") + 1).cast("int"), (F.col("_part.stop") - F.col("_part.first")).cast("int"))
+    cut = F.when(F.col("_part.stop") - F.col("_part.first") == F.col("_size"), F.col(text_col)).otherwise(F.array_join(stretch, ""))
+    met = met.withColumn(text_col, cut)
+    if "n_chars" in docs.columns:
+        met = met.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return met.select(*docs.columns)

@@ -57,7 +57,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(_documents(spark, sf_dir))
+    return near_classes(_documents(spark, sf_dir), width=4, percent=85)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,3 +328,17 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.score(top, number)), pa.array(number), pa.array(name, pa.string())], ["doc_id", "score", "n_toxic", "worst"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, n_toxic long, worst string")
+
+
+def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``least``, all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(machine.state())
+
+    def run(batches):
+        own = Machine(*sent.value)
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                top, number, _ = own.texts(batch.column(text_col))
+                yield batch.filter(pa.array(own.score(top, number) < least))
+
+    return docs.mapInArrow(run, docs.schema)
