@@ -16,6 +16,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import near_classes
 from .license_scan import TEMPLATES, bigrams_of, bounds, license_scan
 from .line_dedup import line_dedup
+from .lm_scoring import score_texts
 from .mixing import mix_sources
 from .packing import pack
 from .topk_search import top_k
@@ -27,6 +28,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_texts(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -73,6 +79,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+_OP1 = r"""
+with t as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+i as (select r, ws, unnest(range(1, len(ws) + 1)) as k from t),
+occ as (select r, case when k > 1 then ws[k - 1] else '' end as v, ws[k] as w from i),
+per as (select r, v, w, count(*) as n from occ group by r, v, w),
+uni as (select w, sum(n) as c from per group by w union all select '', sum(n) from per where v = ''),
+bi as (select v, w, sum(n) as c from per group by v, w),
+total as (select sum(n) as c from per),
+scored as (
+  select per.r, per.n * case when bi.c >= 2 then ln(bi.c::double) - ln(a.c::double) else ln(0.4::double) + ln(b.c::double) - ln((select c from total)::double) end as s
+  from per join bi on per.v = bi.v and per.w = bi.w join uni a on a.w = per.v join uni b on b.w = per.w),
+sums as (select r, sum(s) as s from scored group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(round(s, 4), 0.0::double) as score from t left join sums using (r)
+"""
+
 _OP2 = r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
@@ -185,9 +207,9 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_line_dedup, op3_mix_sources, op4_toxicity, op5_topk_search, op6_license_scan, op7_ngram_jaccard_join, op8_packing, op9_exact_dedup, op10_warc]
+    found = [op1_lm_scoring, op2_line_dedup, op3_mix_sources, op4_toxicity, op5_topk_search, op6_license_scan, op7_ngram_jaccard_join, op8_packing, op9_exact_dedup, op10_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op3_mix_sources": _OP3, "op5_topk_search": _OP5, "op6_license_scan": _op6(), "op9_exact_dedup": _OP9}
+    return {"op1_lm_scoring": _OP1, "op2_line_dedup": _OP2, "op3_mix_sources": _OP3, "op5_topk_search": _OP5, "op6_license_scan": _op6(), "op9_exact_dedup": _OP9}
