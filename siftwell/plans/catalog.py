@@ -1,15 +1,373 @@
-"""The catalogue of queries over the driver's tables and of their SQL twins."""
+"""The catalogue of queries over the driver's tables; ``sql`` holds their DuckDB twins."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing, http, scoring, text, urls
+from ..operators import crawl, index, rank, search
+from ..operators.storage import ensure_checkpoint_dir
+from ..streaming import frontier as streams
+from . import sql
+
+QUERY = "and er tion The re"
+AGENT = "siftwell"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def frequencies(spark, sf_dir):
+    return index.term_frequencies(index.token_positions(table(spark, sf_dir, "documents")))
+
+
+def postings(spark, sf_dir, semantics):
+    n = table(spark, sf_dir, "documents").count()
+    return index.postings(frequencies(spark, sf_dir), n, semantics)
+
+
+def joined(positions):
+    return F.array_join(F.transform(positions, lambda p: p.cast("string")), ",")
+
+
+# --- index -------------------------------------------------------------------
+
+
+def token_positions(spark, sf_dir):
+    return index.token_positions(table(spark, sf_dir, "documents"))
+
+
+def term_freq_lines(spark, sf_dir):
+    return index.term_frequency_lines(frequencies(spark, sf_dir))
+
+
+def parse_tf_lines(spark, sf_dir):
+    parsed = index.parse_term_frequency_lines(term_freq_lines(spark, sf_dir))
+    return parsed.select("word", "doc_id", "tf", F.size("positions").alias("n"), joined("positions").alias("positions"))
+
+
+def doc_freq_idf(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").count()
+    return index.document_frequencies(frequencies(spark, sf_dir), n).select("word", "df", F.round("idf", 8).alias("idf"))
+
+
+def postings_ref(spark, sf_dir):
+    return postings(spark, sf_dir, "reference").select("word", "doc_id", "tfidf", joined("positions").alias("positions"))
+
+
+def postings_textbook(spark, sf_dir):
+    return postings(spark, sf_dir, "intended").select("word", "doc_id", "tfidf", joined("positions").alias("positions"))
+
+
+def posting_lines_pruned(spark, sf_dir):
+    return index.posting_lines(postings(spark, sf_dir, "reference"))
+
+
+def posting_lines_parsed(spark, sf_dir):
+    return index.parse_posting_lines(posting_lines_pruned(spark, sf_dir)).select("word", "doc_id", "tfidf", joined("positions").alias("positions"))
+
+
+def html_text_tokens(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return index.token_positions(pages, "page_id", text.sanitise(text.html_text(F.col("html"))))
+
+
+def page_snippets(spark, sf_dir):
+    return index.snippets(table(spark, sf_dir, "pages"))
+
+
+def description_cut(spark, sf_dir):
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \n\t\r]+", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", text.cut_description(line).alias("intended"), text.cut_description(line, "reference").alias("reference"))
+
+
+# --- search ------------------------------------------------------------------
+
+
+def query_terms(spark, sf_dir):
+    both = [search.query_terms(spark, QUERY, s).select(F.lit(s).alias("semantics"), "word") for s in ("reference", "intended")]
+    return both[0].union(both[1])
+
+
+def search_tfidf_top500(spark, sf_dir):
+    found = search.candidates(postings(spark, sf_dir, "reference"), search.query_terms(spark, QUERY, "reference"))
+    return found.select("doc_id", F.round("tfidf", 5).alias("tfidf"))
+
+
+def part_edges(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s"))
+    return rows.select(F.col("p").alias("src"), F.col("s").alias("dst")).union(rows.select("s", "p"))
+
+
+def rank_table(spark, sf_dir, iterations=5):
+    ranks = rank.pagerank(part_edges(spark, sf_dir), iterations).where(F.col("id").startswith("p")).select(F.substring("id", 2, 20).cast("long").alias("id"), F.round("rank", 9).alias("rank"))
+    return search.rank_items(ranks, table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"))
+
+
+def ranked_page(spark, sf_dir, start, semantics):
+    return search.search(spark, QUERY, postings(spark, sf_dir, semantics).select("word", "doc_id", "tfidf"), rank_table(spark, sf_dir), start, semantics=semantics)
+
+
+def rounded(page):
+    return page.select("doc_id", "url", F.round("page_rank", 6).alias("page_rank"), F.round("tfidf", 5).alias("tfidf"), F.round("weighted_value", 6).alias("weighted_value"), "preview_name")
+
+
+def search_ranked_page(spark, sf_dir):
+    return rounded(ranked_page(spark, sf_dir, 0, "reference"))
+
+
+def search_ranked_page_2(spark, sf_dir):
+    return rounded(ranked_page(spark, sf_dir, 10, "intended"))
+
 
 def flagship(spark, sf_dir):
-    return spark.range(1)
+    return ranked_page(spark, sf_dir, 0, "intended")
+
+
+def pagination_links(spark, sf_dir):
+    grid = spark.range(0, 40).select(F.col("id").alias("start")).withColumn("n", F.explode(F.array(*[F.lit(x) for x in (0, 9, 10, 11, 20, 25, 30, 31)])))
+    return grid.select("start", F.col("n").cast("long").alias("n"), F.array_join(search.pagination_links(F.col("start"), F.col("n")), ",").alias("links"))
+
+
+def blended_scores(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("tfidf"), F.when(F.col("c_custkey") % 7 == 0, F.lit(1.0)).otherwise(F.col("c_acctbal") / 1000).alias("rank"))
+    return rows.select("c_custkey", F.round(scoring.blended(F.col("tfidf"), F.col("rank")), 6).alias("score"))
+
+
+# --- links and ranks ---------------------------------------------------------
+
+
+def pagerank_ref_10(spark, sf_dir):
+    return rank.pagerank(part_edges(spark, sf_dir), 10, "reference").select("id", F.round("rank", 6).alias("rank"))
+
+
+def pagerank_damped_10(spark, sf_dir):
+    return rank.pagerank(part_edges(spark, sf_dir), 10).select("id", F.round("rank", 6).alias("rank"))
+
+
+def links_extract(spark, sf_dir):
+    return crawl.links(table(spark, sf_dir, "pages")).select("page_id", "pos", "href")
+
+
+def links_resolved(spark, sf_dir):
+    return crawl.links(table(spark, sf_dir, "pages")).where("url is not null").select("page_id", "pos", "url")
+
+
+def inlink_counts(spark, sf_dir):
+    return crawl.inlink_counts(crawl.links(table(spark, sf_dir, "pages")))
+
+
+def page_link_graph(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return crawl.link_graph(crawl.links(pages), pages)
+
+
+# --- URLs --------------------------------------------------------------------
+
+
+def url_parse(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.url_struct(F.col("url")).alias("u")).select("page_id", "u.*")
+
+
+def url_canonical(spark, sf_dir):
+    u = urls.url_struct(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical(u).alias("url"), urls.domain(u).alias("domain"), urls.canonical(urls.append_path(u, F.lit("x/y"))).alias("appended"), urls.canonical(urls.with_path(u, F.lit("z"))).alias("replaced"))
+
+
+def preview_name(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.preview_name(F.col("url")).alias("name"))
+
+
+def url_messages(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").where("url is not null").groupBy((F.col("page_id") % 50).alias("m")).agg(F.array_sort(F.collect_list("url")).alias("u"))
+    sent = rows.select("m", urls.message(F.col("u")).alias("value"))
+    return sent.select("m", F.explode(urls.message_urls(F.col("value"))).alias("url"))
+
+
+def host_shard(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", hashing.host_shard(urls.url_struct(F.col("url"))["host"], 4).alias("shard"))
+
+
+# --- crawl -------------------------------------------------------------------
+
+
+def page_whitelist(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "pages").where("page_id % 3 = 0").select(urls.url_struct(F.col("url")).alias("u"))
+    return suppliers.select(urls.domain(F.col("u")).alias("domain"))
+
+
+def frontier_whitelist(spark, sf_dir):
+    return crawl.whitelisted(crawl.frontier_entries(table(spark, sf_dir, "pages")), page_whitelist(spark, sf_dir))
+
+
+def frontier_unseen(spark, sf_dir):
+    found = crawl.frontier_entries(crawl.links(table(spark, sf_dir, "pages")))
+    seen = crawl.frontier_entries(crawl.links(table(spark, sf_dir, "pages").where("page_id % 2 = 0")))
+    return crawl.unseen(found, seen)
+
+
+def frontier_progress(spark, sf_dir):
+    entries = crawl.frontier_entries(table(spark, sf_dir, "pages"))
+    return crawl.progress(entries.withColumn("done", F.length("path") % 2 == 0))
+
+
+def frontier_routed(spark, sf_dir):
+    return crawl.routed(crawl.frontier_entries(table(spark, sf_dir, "pages")), 4)
+
+
+def latest_per_user(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("crawldate"), F.col("event_id").alias("fingerprint"))
+    return crawl.latest(rows, "user_id", "crawldate")
+
+
+def upsert_store(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("crawldate"), F.col("event_id").alias("fingerprint"))
+    return crawl.upsert(rows.where("fingerprint % 2 = 0"), rows.where("fingerprint % 2 = 1"), "user_id", "crawldate")
+
+
+def deposit_new(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(hashing.content_digest(F.col("text")).alias("fingerprint"), "doc_id")
+    return crawl.deposit(docs.select("fingerprint"), docs.where("doc_id % 2 = 0").select("fingerprint"))
+
+
+def content_dedup(spark, sf_dir):
+    return crawl.content_groups(table(spark, sf_dir, "documents"))
+
+
+def shortest_url(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return crawl.shortest_urls(pages, urls.url_struct(F.col("url"))["host"]).withColumnRenamed("key", "host")
+
+
+ROBOTS = [
+    ("User-agent: *\nDisallow: /fr\nAllow: /fr/8\nCrawl-delay: 3\nSitemap: /map.xml\nUser-agent: other\nDisallow: /", 0),
+    ("User-agent: *\nDisallow: /\nUser-agent: siftwell\nDisallow: /en/2\nDisallow:\nAllow: /en/2\nCrawl-delay: x", 1),
+    ("# nothing\nuser-agent: *\nDisallow: /", 2),
+]
+
+
+def robots_files(spark, sf_dir):
+    """A robots file for each domain of the pages, one of three by the length of its name."""
+    domains = crawl.frontier_entries(table(spark, sf_dir, "pages")).select("domain").distinct()
+    body = F.element_at(F.array(*[F.lit(b) for b, _ in ROBOTS]), (F.length("domain") % 3 + 1).cast("int"))
+    return domains.withColumn("body", body)
+
+
+def robots_parse(spark, sf_dir):
+    return crawl.parse_robots(robots_files(spark, sf_dir), AGENT)
+
+
+def robots_decision(spark, sf_dir):
+    rules = crawl.rules_for(crawl.parse_robots(robots_files(spark, sf_dir), AGENT).where("directive <> 'Sitemap'"), AGENT)
+    return crawl.robots_decisions(crawl.frontier_entries(table(spark, sf_dir, "pages")).distinct(), rules)
+
+
+def robots_delays(spark, sf_dir):
+    return crawl.crawl_delays(crawl.rules_for(crawl.parse_robots(robots_files(spark, sf_dir), AGENT).where("directive <> 'Sitemap'"), AGENT))
+
+
+def responses(spark, sf_dir):
+    """Events dressed as responses: types, lengths and status codes in all forms."""
+    kinds = ["text/html; charset=utf-8", "application/rss+xml", "TEXT/HTML", "text/html ;x", "application/xml", "image/png"]
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % by + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", pick(kinds, 6).alias("kind"), pick(["4999999", "5000001", "x", None, "5000000"], 5).alias("length"), F.when(F.col("event_id") % 4 == 0, F.lit(0)).otherwise(F.col("event_id") % 3 * 4_000_000).cast("long").alias("content_length"), pick([200, 304, 404, 200, 200, 200, 301], 7).alias("status"))
+    named = F.when(F.col("event_id") % 2 == 0, "Content-Type").otherwise("content-type")
+    entries = F.filter(F.array(F.struct(named.alias("k"), F.array("kind").alias("v")), F.struct(F.lit("Content-Length").alias("k"), F.array("length").alias("v"))), lambda e: F.get(e["v"], F.lit(0)).isNotNull())
+    return rows.withColumn("headers", F.map_from_entries(entries)).withColumn("content_type", F.when(F.col("event_id") % 3 == 0, F.col("kind")))
+
+
+def content_filters(spark, sf_dir):
+    kind = F.coalesce("content_type", http.first_value(http.header(F.col("headers"), "Content-Type")))
+    length = http.first_value(http.header(F.col("headers"), "Content-Length"))
+    return responses(spark, sf_dir).select("event_id", http.is_markup(kind).alias("markup"), http.fits_length(F.col("content_length"), length).alias("fits"), http.head_action(F.col("status")).alias("action"))
+
+
+def fetchable(spark, sf_dir):
+    return crawl.fetchable(responses(spark, sf_dir)).select("event_id")
+
+
+def extract_again(spark, sf_dir):
+    requested = responses(spark, sf_dir).select(F.col("event_id").cast("string").alias("url"), "status")
+    sites = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url"), F.col("user_id").alias("fingerprint"))
+    prints = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fingerprint"), (F.col("c_custkey") * 10).alias("lastparsed"))
+    return crawl.to_extract_again(requested, sites, prints, F.lit(5000)).select("url", "fingerprint", "lastparsed")
+
+
+def http_dates(spark, sf_dir):
+    stamp = F.date_trunc("second", F.col("ts"))
+    rows = table(spark, sf_dir, "events").select("event_id", stamp.alias("ts"))
+    forms = F.array(http.http_date(F.col("ts")), F.concat(http.http_date(F.col("ts")), F.lit(" GMT")), F.date_format("ts", "EEEE, dd-MMM-yy HH:mm:ss 'GMT'"), F.date_format("ts", "EEE MMM d HH:mm:ss yyyy"), F.lit("garbage"))
+    dated = rows.withColumn("form", F.get(forms, (F.col("event_id") % 5).cast("int")))
+    return dated.select("event_id", http.http_date(F.col("ts")).alias("text"), F.coalesce(F.unix_seconds(http.parse_http_date(F.col("form"))), F.lit(-1)).alias("parsed"))
+
+
+def fetch_readiness(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 3 * 1000).alias("delay"), (F.col("event_id") % 2).alias("queued"))
+    return rows.select("event_id", http.may_fetch(F.col("at"), F.col("delay"), F.col("at") + 1500, F.col("queued")).alias("ready"))
+
+
+# --- streams -----------------------------------------------------------------
+
+
+def places(spark) -> tuple[str, str, str]:
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/siftwell/stream-{uuid.uuid4().hex}"
+    return f"{base}/in", f"{base}/out", f"{base}/state"
+
+
+def table_stream(spark, sf_dir, name):
+    """A table, a file or a folder of files, as a stream."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def stream_frontier_dedup(spark, sf_dir):
+    inbox, out, state = places(spark)
+    pages = table(spark, sf_dir, "pages").where("url is not null")
+    both = pages.select("url").union(crawl.links(pages).where("url is not null").select("url"))
+    both.select(F.url_encode("url").alias("value")).write.text(inbox)
+    stream = streams.frontier(spark.readStream.schema("value string").text(inbox), page_whitelist(spark, sf_dir), 4)
+    streams.run_once(stream, out, state)
+    return spark.read.schema("domain string, path string, shard int").parquet(out)
+
+
+def stream_done_state(spark, sf_dir):
+    _, out, state = places(spark)
+    events = table_stream(spark, sf_dir, "events")
+    entries = events.select(F.col("user_id").cast("string").alias("domain"), F.col("event_type").alias("path"), (F.col("value") > 100).alias("done"))
+    write = lambda df, batch: df.write.mode("overwrite").parquet(out)
+    streams.done_state(entries).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("domain string, path string, done boolean").parquet(out)
+
+
+def stream_crawl_delay(spark, sf_dir):
+    _, out, state = places(spark)
+    events = table_stream(spark, sf_dir, "events")
+    requests = events.select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("domain"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    streams.run_once(streams.crawl_delay(requests, 60_000), out, state)
+    return spark.read.schema("request_id long, domain string, at_ms long, release_ms long").parquet(out)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = [
+        token_positions, term_freq_lines, parse_tf_lines, doc_freq_idf, postings_ref, postings_textbook, posting_lines_pruned, posting_lines_parsed,
+        html_text_tokens, page_snippets, description_cut,
+        query_terms, search_tfidf_top500, search_ranked_page, search_ranked_page_2, pagination_links, blended_scores,
+        pagerank_ref_10, pagerank_damped_10, links_extract, links_resolved, inlink_counts, page_link_graph,
+        url_parse, url_canonical, preview_name, url_messages, host_shard,
+        frontier_whitelist, frontier_unseen, frontier_progress, frontier_routed, latest_per_user, upsert_store, deposit_new, content_dedup, shortest_url,
+        robots_parse, robots_decision, robots_delays, content_filters, fetchable, extract_again, http_dates, fetch_readiness,
+        stream_frontier_dedup, stream_done_state, stream_crawl_delay,
+    ]
+    return {f.__name__: f for f in found}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return sql.twins(QUERY, AGENT, [b for b, _ in ROBOTS])

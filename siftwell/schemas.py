@@ -1,0 +1,20 @@
+"""Schemas of the engine's relations, as DDL."""
+
+RAW_PAGE = "doc_id bigint, url string, html string"
+SITE_RECORD = "url string, crawldate bigint, fingerprint bigint"
+FINGERPRINT_RECORD = "fingerprint bigint, filepath string, lastparsed bigint"
+TERM_FREQUENCY = "word string, doc_id string, tf double, positions array<int>"
+UI_SNIPPET = "doc_id string, description string, title string"
+POSTING = "word string, doc_id string, tfidf double, positions array<int>"
+POSTING_LIST = "word string, postings array<struct<doc_id: string, tfidf: double, positions: array<int>>>"
+INDEX_ITEM = "word string, docReferences string"
+EDGE = "src string, dst string"
+ADJACENCY = "src string, dsts array<string>"
+RANK = "id string, rank double"
+RANK_ITEM = "fingerprint bigint, rank double, urls array<string>"
+SEARCH_RESULT = "doc_id string, url string, page_rank double, tfidf double, weighted_value double, preview_name string"
+FRONTIER = "domain string, path string, done boolean"
+MESSAGE = "value string"
+ROBOTS_RULE = "domain string, agent string, directive string, value string"
+HTTP_RESPONSE = "status int, headers map<string, array<string>>, data binary, redirect int, url string, content_length bigint, content_type string"
+URL = "struct<scheme: string, host: string, port: int, path: string>"
