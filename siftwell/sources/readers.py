@@ -14,7 +14,10 @@ def file_name(path: Column) -> Column:
 
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, content) of a folder of page files named by their fingerprint; system files are left out."""
+    """(doc_id, content) of a folder of page files named by their fingerprint; system files are left out.
+
+    Spark passes over files of no bytes, so an empty page file has no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select(file_name(F.col("path")).alias("doc_id"), "content").where(~F.col("doc_id").contains("DS_Store"))
 
