@@ -24,7 +24,7 @@ def page_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def whole_text_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, html): one record for each file, its content as text."""
-    rows = spark.read.option("wholetext", "true").text(folder).select(file_name(F.input_file_name()).alias("doc_id"), F.col("value").alias("html"))
+    rows = spark.read.text(folder, wholetext=True).select(file_name(F.input_file_name()).alias("doc_id"), F.col("value").alias("html"))
     return rows.where(~F.col("doc_id").contains("DS_Store"))
 
 
