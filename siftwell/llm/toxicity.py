@@ -157,20 +157,29 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(a * top + b * np.log1p(count) + c, -50, 50)))
 
 
-def solve(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Squared-hinge linear machine: Newton steps over the rows inside the margin; the last column is the bias."""
+def solve(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, steps: int = 30, chunk: int = 4096) -> np.ndarray:
+    """Squared-hinge linear machine over rows that are instances of both labels, with a cost each.
+
+    Newton steps over the rows inside the margin; the last column is the bias.  Works in
+    chunks, so no weighted copy of ``x`` is made.
+    """
     d = x.shape[1]
-    ridge = np.eye(d)
-    ridge[-1, -1] = 1e-6
-    w = np.zeros(d)
-    inside = np.ones(len(y), dtype=bool)
-    for _ in range(steps):
-        own = x[inside] * cost[inside][:, None]
-        w = np.linalg.solve(ridge + own.T @ x[inside], own.T @ y[inside])
-        now = y * (x @ w) < 1
-        if (now == inside).all():
+    w, inside = np.zeros(d), None
+    while steps:
+        steps -= 1
+        value = x @ w.astype(x.dtype)
+        now = np.stack([value < 1, value > -1])
+        if inside is not None and (now == inside).all():
             break
         inside = now
+        p, q = toxic * now[0], clean * now[1]
+        left, right = np.eye(d), np.zeros(d)
+        left[-1, -1] = 1e-6
+        for i in range(0, len(x), chunk):
+            part = x[i : i + chunk].astype(np.float64)
+            left += (part * (p + q)[i : i + chunk, None]).T @ part
+            right += (p - q)[i : i + chunk] @ part
+        w = np.linalg.solve(left, right)
     return w
 
 
@@ -217,16 +226,22 @@ def fit(names: list[bytes], toxic: np.ndarray, clean: np.ndarray, n_toxic: int,
     value, vector = np.linalg.eigh(phi.T @ phi)
     half = vector[:, value > 1e-8] / np.sqrt(value[value > 1e-8])
 
-    kernel = np.zeros((len(use), len(chosen)))
+    kernel = np.zeros((len(use), len(chosen)), dtype=np.float32)
+    phi32 = phi.astype(np.float32)
     for at, x in by_length(data, starts[use], ends[use]):
-        total = np.zeros((len(at), len(chosen)))
-        for bucket, weight in features(x):
-            for col in place[bucket].T:
-                hit = np.flatnonzero(col >= 0)
-                total[hit] += weight * phi[col[hit]]
-        kernel[at] = total / norm(x.shape[1])
-    x = np.concatenate([kernel @ half, np.ones((len(use), 1))], axis=1)
-    w = solve(np.concatenate([x, x]), np.concatenate([np.ones(len(use)), -np.ones(len(use))]), cost * np.concatenate([p[use], caution * q[use]]))
+        for i in range(0, len(at), 4096):
+            some, part = at[i : i + 4096], x[i : i + 4096]
+            total = np.zeros((len(some), len(chosen)), dtype=np.float32)
+            for bucket, weight in features(part):
+                for col in place[bucket].T:
+                    hit = np.flatnonzero(col >= 0)
+                    total[hit] += np.float32(weight) * phi32[col[hit]]
+            kernel[some] = total / np.float32(norm(x.shape[1]))
+    mapped = np.ones((len(use), half.shape[1] + 1), dtype=np.float32)
+    for i in range(0, len(use), 4096):
+        mapped[i : i + 4096, :-1] = kernel[i : i + 4096] @ half.astype(np.float32)
+    del kernel
+    w = solve(mapped, cost * p[use], cost * caution * q[use])
     table = np.zeros(1 << BITS, dtype=np.float32)
     table[buckets] = phi @ (half @ w[:-1])
     return Machine(table, float(w[-1]))
@@ -252,7 +267,7 @@ def curve(top: np.ndarray, count: np.ndarray, label: np.ndarray) -> tuple[float,
     return tuple(float(v) for v in full)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 4000, most_clean: int = 8000, most_words: int = 60000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 4000, most_clean: int = 8000, most_words: int = 40000) -> Machine:
     """Fit a machine on at most ``most_toxic + most_clean`` labelled rows (those with ``learn``, a condition on doc_id)."""
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -285,13 +300,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     counted = counted.groupBy("word").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(2 * FOLDS)])
     counted = stored(counted.withColumn("pos", sum((F.col(f"n{2 * k + 1}") for k in range(FOLDS)), F.lit(0))).withColumn("neg", sum((F.col(f"n{2 * k}") for k in range(FOLDS)), F.lit(0))), "toxicity-words")
     tie = [F.xxhash64("word"), F.col("word")]
-    table = counted.where("pos > 0").orderBy(F.col("pos").desc(), *tie).limit(most_words // 2).union(counted.where("neg > 0").orderBy(F.col("neg").desc(), *tie).limit(most_words // 2)).distinct().orderBy("word").collect()
+    table = counted.where("pos > 0").orderBy(F.col("pos").desc(), *tie).limit(most_words // 2).union(counted.where("neg > 0").orderBy(F.col("neg").desc(), *tie).limit(most_words // 2)).distinct().orderBy("word").toPandas()
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in texts.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     n_label = [sum(n for (_, t), n in sizes.items() if t == label) for label in (0, 1)]
-    if not all(n_label) or not table:
+    if not all(n_label) or not len(table):
         return Machine(np.zeros(1 << BITS, np.float32), 0.0, constant=n_label[1] / max(1, sum(n_label)))
-    names = [bytes(r["word"]) for r in table]
-    n = np.array([[r[f"n{k}"] for k in range(2 * FOLDS)] for r in table], dtype=np.float64)
+    names = [bytes(x) for x in table["word"]]
+    n = table[[f"n{k}" for k in range(2 * FOLDS)]].to_numpy(np.float64)
 
     def machine(without: int | None) -> Machine:
         folds = [k for k in range(FOLDS) if k != without]
