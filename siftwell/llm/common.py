@@ -67,3 +67,23 @@ def power_of(base: int, least: int, most: int) -> int:
     while n < least and n * base <= most:
         n *= base
     return n
+
+
+def count_bin(n: Column) -> Column:
+    """A bin that grows with a count: itself below 1024, then 256 bins for each doubling."""
+    return F.when(n < 1024, n).otherwise(1024 + F.floor((F.log2(n.cast("double")) - 10) * 256)).cast("long")
+
+
+def heaviest(bins: DataFrame, most: int) -> int:
+    """The least bin such that at most ``most`` entries lie in it and above, from (bin, entries).
+
+    There are about 14,000 bins whatever the counts, so the driver gets as many rows at most;
+    a sort with a limit would send ``most`` rows of every partition to it.
+    """
+    seen, least = 0, 1 << 62
+    for b, n in bins.groupBy("bin").agg(F.sum("entries").alias("entries")).orderBy(F.col("bin").desc()).collect():
+        seen += n
+        if seen > most:
+            break
+        least = b
+    return least

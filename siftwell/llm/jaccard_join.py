@@ -3,8 +3,9 @@ r"""N-gram Jaccard join: links and components by prefixes under several token or
 A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased, words are
 runs of other than ``[\x20\x09-\x0D]``; with fewer words the whole sequence is one).  Two
 sets link when 100 * |A n B| >= percent * |A u B|.  In any order of all tokens, linked sets
-share a token among the first n - ceil(percent/100 * n) + 1 of each; so candidates must
-share a prefix token under each of two orders, which are intersected before verification.
+share at least l tokens among the first n - ceil(percent/100 * n) + l of each (l is 5, less
+for tiny sets); so candidates must share that many prefix tokens under each of two orders,
+and these filters are intersected before verification.
 Both orders put tokens last that are known to be frequent, and differ elsewhere.
 
 1. A scan counts the shingles that are frequent within a part of the input.  The order
@@ -12,12 +13,14 @@ Both orders put tokens last that are known to be frequent, and differ elsewhere.
    each, broadcast); what it lacks costs time, not links.
 2. A scan gives each document the digest of its set and sends each prefix token to its
    hash part, packed by part rather than row by row.  Equal sets are one node from here on.
-   A part keeps the tokens that at least two nodes share; on most texts few are left.
+   A part keeps the tokens that at least two nodes share; nodes without l such tokens under
+   each order have no partner and go.  The packed tokens are deleted then.
 3. Sets of the nodes that are left are built once more from their texts and stored.
 4. In each token's bucket all nodes are verified against one hub (the node with the fewest
    light tokens): as many pairs as rows.  Components of these links are found first.
 5. Only pairs from different components are then formed in the buckets, filtered by size
-   and by a bitmap bound on the intersection, intersected between the orders, and verified.
+   by a bitmap bound on the intersection and by l shared tokens, intersected between the
+   orders, and verified.
    A group of copies of any size is one component by then, so its pairs are never formed.
 6. Components over all links.
 
@@ -40,12 +43,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import power_of, shuffle_width, stored
+from .common import count_bin, drop_path, heaviest, new_path, power_of, shuffle_width, stored
 from .components import components
 from .tokens import mix, slices, word_hashes
 
 KEY = ["d1", "d2", "n"]
-ORDERS = 2
+ORDERS, SHARED = 2, 5
 _STEPS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -77,7 +80,14 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    least = -(-percent * n // 100)
+    return n - least + min(SHARED, least)
+
+
+def shared_least(n: Column, percent: int) -> Column:
+    """How many prefix tokens a set of size ``n`` shares with any set that it links with."""
+    small = F.ceil(F.ceil(n * percent / 100) * percent / 100)  # its partner may be as much smaller
+    return F.least(F.lit(SHARED), F.greatest(F.lit(1), small))
 
 
 def heavy_tokens(docs: DataFrame, width: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +112,9 @@ def heavy_tokens(docs: DataFrame, width: int, least: int, most: int) -> tuple[np
         if size:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "token").limit(most).toPandas()
+    counted = stored(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "join-heavy")
+    counted = counted.withColumn("bin", count_bin(F.col("n")))
+    top = counted.where(F.col("bin") >= heaviest(counted.groupBy("bin").agg(F.count("*").alias("entries")), most)).select("token", "n").toPandas()
     tokens, weight = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     by = np.lexsort((tokens, weight))
     rank = np.empty(len(by), dtype=np.uint64)
@@ -201,7 +212,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     heavy, rank = heavy_tokens(rows, width, least_heavy, most_heavy)
-    out = stored(prefixes(rows, width, percent, shuffle_width(spark), heavy, rank), "join-prefixes")
+    out = prefixes(rows, width, percent, shuffle_width(spark), heavy, rank)
+    path = new_path(spark, "join-prefixes")
+    out.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    out = spark.read.schema(out.schema).parquet(path)
 
     # Classes of equal sets; a large one is spread over runs of ids on the way back.
     runs = power_of(4, max(64, shuffle_width(spark)), most_runs)
@@ -210,7 +224,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = stored(by_run.groupBy(*KEY).agg(F.min("node").alias("node"), F.min("light").alias("light")), "join-classes")
 
     buckets = shared_tokens(out.where("kind = 1").select("ord", "part", "tokens", "nodes"))
-    buckets = stored(buckets.join(classes.select("d1", "n", "light", "node"), "d1").groupBy("ord", "token", "node").agg(F.min("n").alias("n"), F.min("light").alias("light")), "join-buckets")
+    buckets = stored(buckets.join(classes.select("d1", "n", "light", "node"), "d1").groupBy("ord", "token", "node").agg(F.min("n").alias("n"), F.min("light").alias("light")), "join-tokens")
+    drop_path(spark, f"{path}/kind=1")
+    by_order = [F.count_if(F.col("ord") == o) for o in range(ORDERS)]
+    live = buckets.groupBy("node").agg(F.least(*by_order).alias("shared"), F.min("n").alias("n")).where(F.col("shared") >= shared_least(F.col("n"), percent))
+    buckets = stored(buckets.join(live.select("node"), "node", "left_semi"), "join-buckets")
 
     def build(batches):
         for whole in batches:
@@ -241,7 +259,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         common = F.least(F.col("a_n") - lost(F.col("a_bits"), F.col("b_bits")), F.col("b_n") - lost(F.col("b_bits"), F.col("a_bits")))
         near = 100 * common >= percent * (F.col("a_n") + F.col("b_n") - common)
         on = (a["token"] == b["token"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & fits(F.col("a_n"), F.col("b_n"), percent) & near
-        return a.join(b, on).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+        met = a.join(b, on).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("shared"), F.least(F.min("a_n"), F.min("b_n")).alias("n"))
+        return met.where(F.col("shared") >= shared_least(F.col("n"), percent)).select("a", "b")
 
     second = crossing(0).join(crossing(1), ["a", "b"], "left_semi")
     more = stored(verified(second, sets, percent), "join-more-links")
