@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stored
+from .common import heaviest, shuffle_width, stored
 from .tokens import mix, slices, word_hashes
 
 START = np.uint64(0x5354415254)  # the word before a text's first
@@ -49,6 +49,11 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mix(keys, 21) % np.uint64(parts)).astype(np.int64)
 
 
+def bins(n: np.ndarray) -> np.ndarray:
+    """``common.count_bin`` for an array."""
+    return np.where(n < 1024, n, 1024 + np.floor((np.log2(np.maximum(n, 1)) - 10) * 256).astype(np.int64))
+
+
 def by_part(part: np.ndarray, parts: int):
     """(part, positions) of the parts that occur, positions in their old order."""
     order = np.argsort(part, kind="stable")
@@ -92,23 +97,28 @@ def unigrams(docs: DataFrame, parts: int) -> DataFrame:
 def hot_words(table: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(words ascending, counts) of the most frequent words, number of words, number of texts with words."""
 
-    def best(batches):
+    def counts(batches):
+        """Number of words by bin of their count; in bin -1 all words' places, in bin -2 the texts."""
         for pdf in batches:
             for words, n in zip(pdf["words"], pdf["counts"]):
-                words, n = np.frombuffer(words, np.uint64), np.frombuffer(n, np.int64)
-                at = np.lexsort((words, -n))[: hot + 1]
-                yield pd.DataFrame({"word": words[at].view(np.int64), "n": n[at]})
+                n, start = np.frombuffer(n, np.int64), np.frombuffer(words, np.uint64) == START
+                b, entries = np.unique(bins(n[~start]), return_counts=True)
+                yield pd.DataFrame({"bin": np.concatenate([b, [-1, -2]]), "entries": np.concatenate([entries, [n[~start].sum(), n[start].sum()]]).astype(np.int64)})
 
-    def total(batches):
+    known = stored(table.select("words", "counts").mapInPandas(counts, "bin long, entries long").groupBy("bin").agg(F.sum("entries").alias("entries")), "lm-histogram")
+    least = heaviest(known.where("bin >= 0"), hot)
+    totals = {r["bin"]: r["entries"] for r in known.where("bin < 0").collect()}
+
+    def best(batches):
         for pdf in batches:
             for words, n in zip(pdf["words"], pdf["counts"]):
-                n, start = np.frombuffer(n, np.int64), np.frombuffer(words, np.uint64) == START
-                yield pd.DataFrame({"n": [int(n[~start].sum())], "texts": [int(n[start].sum())]})
+                words, n = np.frombuffer(words, np.uint64), np.frombuffer(n, np.int64)
+                at = (bins(n) >= least) & (words != START)
+                yield pd.DataFrame({"word": words[at].view(np.int64), "n": n[at]})
 
-    top = table.select("words", "counts").mapInPandas(best, "word long, n long").orderBy(F.col("n").desc(), "word").limit(hot + 1).toPandas()
+    top = table.select("words", "counts").mapInPandas(best, "word long, n long").toPandas()
     words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    everything, texts = table.select("words", "counts").mapInPandas(total, "n long, texts long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
-    words, n = words[words != START][:hot], n[words != START][:hot]
+    everything, texts = totals.get(-1, 0), totals.get(-2, 0)
     order = np.argsort(words)
     return words[order], n[order], everything, texts
 
