@@ -112,9 +112,11 @@ def heavy_tokens(docs: DataFrame, width: int, least: int, most: int) -> tuple[np
         if size:
             yield flush()
 
-    counted = stored(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "join-heavy")
+    path = new_path(docs.sparkSession, "join-heavy")
+    counted = stored(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "join-heavy", path)
     counted = counted.withColumn("bin", count_bin(F.col("n")))
     top = counted.where(F.col("bin") >= heaviest(counted.groupBy("bin").agg(F.count("*").alias("entries")), most)).select("token", "n").toPandas()
+    drop_path(docs.sparkSession, path)
     tokens, weight = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     by = np.lexsort((tokens, weight))
     rank = np.empty(len(by), dtype=np.uint64)
@@ -207,7 +209,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b").distinct()
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, least_heavy: int = 4, most_heavy: int = 1 << 17, most_runs: int = 4096) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, least_heavy: int = 2, most_heavy: int = 1 << 17, most_runs: int = 4096) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
