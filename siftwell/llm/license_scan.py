@@ -1,19 +1,24 @@
 """License scans by Dice coefficient over word bigrams [native].
 
-Units of a text are the whole text, its paragraphs, lines and sentences.  A unit and a
-template are normalised alike (A-Z lower-cased, all but letters and digits to one blank)
+Single units of a text are the whole text, its paragraphs, lines and sentences.  For a
+template that no single unit matches, runs are units too: consecutive words across at least
+one end of a line or sentence, so a notice in its usual layout (wrapped lines, several
+paragraphs) is found wherever it stands in a text.  A run has (2 - least) / least times as
+many bigrams as the template at most, repeats counted.  A unit and a template are normalised alike (A-Z lower-cased, all but letters and digits to one blank)
 and compared by the Dice coefficient of their sets of word bigrams, 2 |A n B| / (|A| + |B|).
 
 A Dice of ``least`` is reached only if |B| * least / (2 - least) <= |A| <= |B| * (2 - least)
 / least: these size bounds prune templates for a unit.  It also needs so many common
 bigrams that any (|B| - that number + 1) bigrams of the template include one of them; texts
 without any such bigram of any template are passed by with one pattern search.  Both are
-exact: no match of ``least`` or more is lost.
+exact: no match of ``least`` or more is lost.  Runs are tried only in texts that hold the
+needed number of the template's bigrams, from places with so many of them within reach.
 
 Templates are a short fixed table, so they are literals of the plan; texts never move.
 
 Defined results
 - null or empty text, and units of fewer than two words: no match.
+- A template adds its best run alone to the matches, and none if a single unit matches it.
 - Of equal scores the first template in the table wins, for a text the highest score.
 - One row for each row of the input, repeats and null ids included; other columns are
   ignored; an empty table gives an empty result.
@@ -85,14 +90,17 @@ def bounds(size: int, least: float) -> tuple[int, int]:
     return math.ceil(size * least / (2 - least) - 1e-9), math.floor(size * (2 - least) / least + 1e-9)
 
 
+def needed(size: int, least: float) -> int:
+    """Common bigrams without which no unit reaches ``least`` against ``size`` bigrams."""
+    return math.ceil(least / 2 * (bounds(size, least)[0] + size) - 1e-9)
+
+
 def signature(grams: list[str], least: float) -> list[str]:
     """So many bigrams of a template that any unit that reaches ``least`` holds one of them.
 
     The rarest-looking (longest) ones, as these pass the fewest texts.
     """
-    n = len(grams)
-    needed = math.ceil(least / 2 * (bounds(n, least)[0] + n) - 1e-9)
-    return sorted(grams, key=lambda g: (-len(g), g))[: n - needed + 1]
+    return sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - needed(len(grams), least) + 1]
 
 
 def normalised(text: Column) -> Column:
@@ -105,12 +113,60 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(pairs))
 
 
+def placed_bigrams(text: Column) -> Column:
+    """(g, prev, cross) of each bigram in order: itself, where it stood before, whether a line or sentence ends in it."""
+    # A word that a line or sentence ends with keeps one line feed.
+    lines = F.regexp_replace(F.translate(text, UPPER, LOWER), r"[.!?]\s+", "\n")
+    marked = F.regexp_replace(F.regexp_replace(lines, r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*", "\n ")
+    words = F.split(F.regexp_replace(marked, r"^[ \n]+|[ \n]+$", ""), " ")
+    bare = F.transform(words, lambda w: F.rtrim(w, F.lit("\n")))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(bare, 1, n), F.slice(bare, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+    # Equal bigrams are neighbours once sorted.
+    by_gram = F.array_sort(F.transform(pairs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    before = F.concat(F.array(F.lit(None).cast("struct<g:string,i:int>")), by_gram)
+    linked = F.zip_with(by_gram, F.slice(before, 1, F.size(by_gram)), lambda x, y: F.struct(x["i"].alias("i"), x["g"].alias("g"), F.when(x["g"] == y["g"], y["i"]).otherwise(-1).alias("prev")))
+    ends = F.transform(F.slice(words, 1, n), lambda w: F.endswith(w, F.lit("\n")))
+    return F.zip_with(F.array_sort(linked), ends, lambda x, e: F.struct(x["g"].alias("g"), x["prev"].alias("prev"), e.alias("cross")))
+
+
+def best_run(placed: Column, own: list[str], length: int, least: float) -> Column:
+    """The highest Dice of a run against a template of the bigrams ``own``, ``length`` with repeats; 0 if none."""
+    reach, common = bounds(length, least)[1], needed(len(own), least)
+    seq = F.transform(placed, lambda x: F.struct(x["prev"].alias("prev"), x["cross"].alias("cross"), x["g"].isin(own).alias("hit")))
+
+    def of_text(seq: Column) -> Column:
+        at = F.filter(F.transform(seq, lambda x, i: F.when(x["hit"], i)), lambda i: i.isNotNull())
+        return of_places(seq, at)
+
+    def of_places(seq: Column, at: Column) -> Column:
+        # The best run starts and ends in the template; as many more of its bigrams must follow within reach.
+        after = F.slice(at, common, F.greatest(F.size(at) - common + 1, F.lit(0)))
+        starts = F.zip_with(F.slice(at, 1, F.size(after)), after, lambda i, j: F.when(j - i < reach, i))
+        return F.coalesce(F.array_max(F.transform(F.filter(starts, lambda i: i.isNotNull()), lambda i: of_start(seq, i))), F.lit(0.0))
+
+    def of_start(seq: Column, i: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            new = x["prev"] < i
+            size, shared = s["size"] + new.cast("int"), s["shared"] + (new & x["hit"]).cast("int")
+            cross = s["cross"] | x["cross"]
+            dice = F.when(x["hit"] & cross, 2.0 * shared / (size + len(own))).otherwise(0.0)
+            return F.struct(size.alias("size"), shared.alias("shared"), cross.alias("cross"), F.greatest(s["best"], dice).alias("best"))
+
+        start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shared"), F.lit(False).alias("cross"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.slice(seq, i + 1, F.lit(reach)), start, step, lambda s: s["best"])
+
+    # A transform over one element binds the sequence, so that it is made once.
+    return F.transform(F.array(seq), of_text)[0]
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, license (null: none), dice, n_matches.
 
     n_matches: distinct units that match a template.
     """
-    table = {name: bigrams_of(text) for name, text in (TEMPLATES if templates is None else templates).items()}
+    templates = TEMPLATES if templates is None else templates
+    table = {name: bigrams_of(text) for name, text in templates.items()}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     marks = sorted({g for grams in table.values() for g in signature(grams, least)})
     pattern = "(?:^| )(?:" + "|".join(marks) + ")(?: |$)"
@@ -131,8 +187,20 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found.append(F.when(F.size(grams).between(low, high), F.when(dice >= least - 1e-12, F.struct(dice.alias("dice"), F.lit(-place).alias("place"), F.lit(name).alias("name")))))
         return F.greatest(*found)
 
-    scored = rows.select("doc_id", units.alias("units")).withColumn("grams", F.transform("units", bigrams))
+    scored = rows.select("doc_id", "t", units.alias("units")).withColumn("marked", F.size("units") > 0)
+    scored = scored.withColumn("grams", F.transform("units", bigrams))
     scored = scored.withColumn("grams", F.filter("grams", lambda g: F.size(g).between(1, widest)))
     scored = scored.withColumn("hits", F.filter(F.transform("grams", matches), lambda h: h.isNotNull()))
+    # A text without a mark has no run that matches.
+    scored = scored.withColumn("all", F.when(F.col("marked"), bigrams(F.col("t"))))
+    open_for = [F.when((F.size(F.array_intersect("all", F.array(*[F.lit(g) for g in own]))) >= needed(len(own), least)) & ~F.array_contains(F.transform("hits", lambda h: h["name"]), name), F.lit(name)) for name, own in table.items()]
+    scored = scored.withColumn("open", F.when(F.col("marked"), F.array_compact(F.array(*open_for)))).drop("all")
+    scored = scored.withColumn("placed", F.when(F.size("open") > 0, placed_bigrams(F.col("t")))).drop("t")
+    runs = []
+    for place, (name, own) in enumerate(table.items()):
+        dice = F.when(F.array_contains("open", name), best_run(F.col("placed"), own, len(words_of(templates[name])) - 1, least))
+        run = F.struct(dice.alias("dice"), F.lit(-place).alias("place"), F.lit(name).alias("name"))
+        runs.append(F.filter(F.array(run), lambda r: r["dice"] >= least - 1e-12))
+    scored = scored.withColumn("hits", F.concat("hits", F.when(F.size("open") > 0, F.concat(*runs)).otherwise(F.slice("hits", 1, 0))))
     best = F.array_max("hits")
     return scored.select("doc_id", best["name"].alias("license"), F.coalesce(F.round(best["dice"], 6), F.lit(0.0)).alias("dice"), F.size("hits").cast("long").alias("n_matches"))

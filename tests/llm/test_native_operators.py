@@ -3,13 +3,14 @@
 import hashlib
 import itertools
 import re
+import textwrap
 
 import numpy as np
 import pytest
 
 from siftwell.llm import packing
 from siftwell.llm.exact_dedup import exact_dedup, kept_documents
-from siftwell.llm.license_scan import TEMPLATES, bigrams_of, license_scan
+from siftwell.llm.license_scan import TEMPLATES, bigrams_of, bounds, license_scan, words_of
 from siftwell.llm.line_dedup import line_dedup
 from siftwell.llm.mixing import mix_sources, mixed_documents
 
@@ -148,6 +149,43 @@ def test_license_bounds_lose_nothing(spark):
         assert r.dice == pytest.approx(best if best >= 0.8 else 0, abs=1e-6)
 
 
+def layout(name, width=72):
+    """A template with its sentences in paragraphs of wrapped lines, behind comment marks."""
+    parts = [textwrap.wrap(p, width) for p in re.split(r"(?<=[.:]) (?=[A-Z1-9])", TEMPLATES[name])]
+    return "\n *\n".join("\n".join(f" * {x}" for x in p) for p in parts)
+
+
+def best_window(text, name, least=0.8):
+    """Brute force over all runs of words that cross an end of a line or sentence."""
+    parts = [words_of(p) for p in re.split(r"[.!?]\s+|\n", text)]
+    w, part = [x for p in parts for x in p], [k for k, p in enumerate(parts) for _ in p]
+    own, length = set(bigrams_of(TEMPLATES[name])), len(words_of(TEMPLATES[name])) - 1
+    best = 0
+    for i in range(len(w)):
+        grams = set()
+        for j in range(i + 1, min(len(w), i + 1 + bounds(length, least)[1])):
+            grams.add(f"{w[j - 1]} {w[j]}")
+            if part[i] != part[j]:
+                best = max(best, 2 * len(grams & own) / (len(grams) + len(own)))
+    return best
+
+
+def test_licenses_in_their_layout_inside_a_long_document(spark):
+    around = "\n".join(f"Some other line {k} of the text, with permission to use and copy it {k * k}." for k in range(300))
+    names = ["MIT", "BSD-2-Clause", "Apache-2.0-notice", "GPL-3.0-notice", "ISC"]
+    rng = np.random.default_rng(3)
+    worn = ["\n".join(" ".join(x for x in y.split(" ") if rng.random() > 0.05) for y in layout(n).split("\n")) for n in names]
+    texts = [f"{around}\nCopyright 2020 A. Holder\n{x}\n{around}" for x in [*map(layout, names), *worn]]
+    texts += [f"{around}\nLicensed under the Apache\nLicense, Version 2.0.\n{around}", around, layout("MIT") + "\n\n" + around + "\n\n" + layout("BSD-2-Clause")]
+    texts += [f"{TEMPLATES['MIT'].replace('. ', '.' + chr(10))} {around}".replace(chr(10), " ")]  # all in one line
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.license, r.dice, r.n_matches) for r in license_scan(frame).orderBy("doc_id").collect()]
+    assert [g[0] for g in got] == [*names, *names, "Apache-2.0-line", None, "MIT", "MIT"]
+    for (name, dice, n), text in zip(got, texts):
+        assert name is None or dice == pytest.approx(best_window(text, name), abs=1e-6)
+    assert got[12][2] == 2 and got[11] == (None, 0.0, 0)
+
+
 def test_best_bounds():
     rng = np.random.default_rng(2)
     for _ in range(30):
