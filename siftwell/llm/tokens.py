@@ -66,7 +66,8 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * powers(_BASE, len(data)))])
+    value = _VALUE[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64))  # bytes, or code points
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * powers(_BASE, len(data)))])
     own = (total[stops] - total[starts]) * powers(_INVERSE, len(data))[starts]
     return mix(own ^ (stops - starts).astype(np.uint64))
 

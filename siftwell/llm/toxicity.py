@@ -1,10 +1,13 @@
 r"""Toxicity by a string-kernel support vector machine with Nystroem landmarks.
 
-Kernel.  Two words are compared by their common subsequences of ``ORDER`` bytes that lie
-within ``SPAN`` bytes, each weighted by DECAY per byte skipped (word ends count as bytes).
-Inserted or left-out characters therefore cost weight, not the match.  Marks inside a word
-are dropped first (``i.d-i*o.t``), A-Z lower-cased, and a run of single letters
-(``i d i o t``) is a word too.  Weights are divided by a function of the word's length.
+Kernel.  Two words are compared by their common subsequences of ``ORDER`` characters that
+lie within ``SPAN`` characters, each weighted by DECAY per character skipped (word ends count
+as characters).  Inserted or left-out characters therefore cost weight, not the match; SPAN
+lets one stand between each two of four letters.  All but letters and digits of any script
+is dropped first (``i.d-i*o.t``, dashes, combining marks, zero-width characters), blanks of
+any script separate words, A-Z are lower-cased, and a run of single letters (``i d i o t``)
+is a word too, as are the letters of a word with one and the same character between each two
+of them (``ixdxixoxt``).  Weights are divided by a function of the word's length.
 
 Training.  From the labelled sentences of a bounded sample of documents (``most_toxic`` and
 ``most_clean`` rows, the first by a hash of the id) the words are counted by label and fold;
@@ -32,6 +35,7 @@ Defined results
 from __future__ import annotations
 
 import itertools
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,23 +46,71 @@ from pyspark.sql import functions as F
 from .common import stored
 from .tokens import hashes, raw, slices, spans
 
-ORDER, SPAN, DECAY, BITS, LONGEST, STRIDE, FLOOR = 4, 6, 0.6, 20, 24, 12, -1.5
+ORDER, SPAN, DECAY, BITS, LONGEST, STRIDE, FLOOR = 4, 7, 0.6, 20, 24, 12, -1.5
 SHAPES = [(0, *rest) for rest in itertools.combinations(range(1, SPAN), ORDER - 1)]
-_MIXERS = np.random.Generator(np.random.PCG64(97)).integers(0, 2**32, (ORDER, 256), dtype=np.uint32)
-_KEEP = np.zeros(256, dtype=bool)
-_KEEP[[*range(0x80, 0x100), *range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), 0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+_MIXERS = np.random.Generator(np.random.PCG64(97)).integers(0, 2**32, (ORDER, 1 << 16), dtype=np.uint32)
+DROP, KEEP, BLANK = 0, 1, 2
+
+
+def kind(point: int) -> int:
+    if 0x09 <= point <= 0x0D:
+        return BLANK
+    return {"L": KEEP, "N": KEEP, "Z": BLANK}.get(unicodedata.category(chr(point))[0], DROP)
+
+
+_KIND = np.array([kind(c) for c in range(1 << 16)], dtype=np.uint8)
 FOLDS = 3
 
 
+def points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 ``data`` and the rows' offsets in them; bytes, where all are ASCII."""
+    if not len(data) or data.max() < 0x80:
+        return data, offsets
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    out = data[at].astype(np.uint32)
+    wide = np.flatnonzero(out >= 0x80)
+    own = at[wide]
+    b0, b1, b2, b3 = (np.concatenate([data, np.zeros(3, np.uint8)])[own + k].astype(np.uint32) & m for k, m in enumerate((0xFF, 0x3F, 0x3F, 0x3F)))
+    two, three, four = (b0 & 0x1F) << 6 | b1, (b0 & 0x0F) << 12 | b1 << 6 | b2, (b0 & 0x07) << 18 | b1 << 12 | b2 << 6 | b3
+    out[wide] = np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, four))
+    return out, np.concatenate([[0], np.cumsum(lead)])[offsets]
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    if data.dtype == np.uint8:
+        return _KIND[data]
+    out = _KIND[data & 0xFFFF]
+    high = np.flatnonzero(data > 0xFFFF)
+    if len(high):
+        one, which = np.unique(data[high], return_inverse=True)
+        out[high] = np.array([kind(int(c)) if c < 0x110000 else DROP for c in one], np.uint8)[which]
+    return out
+
+
+def spelling(part: np.ndarray) -> str:
+    return part.tobytes().decode("ascii" if part.dtype == np.uint8 else "utf-32-le", errors="replace")
+
+
+def without_fill(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[int]:
+    """Words of letters with one and the same character between each two of them, three other letters at least."""
+    size = stops - starts
+    at = np.flatnonzero((size >= 5) & (size % 2 == 1))
+    fill = data[starts[at] + 1]
+    at, fill = at[fill == data[starts[at] + 3]], fill[fill == data[starts[at] + 3]]
+    return [int(i) for i, c in zip(at, fill) if (data[starts[i] + 1 : stops[i] : 2] == c).all() and (data[starts[i] : stops[i] : 2] != c).sum() >= 3]
+
+
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(data, starts, stops, row) of the words of a text column, long ones in overlapping pieces."""
-    data, offsets = raw(column)
-    keep = _KEEP[data]
+    data, offsets = points(*raw(column))
+    of = kinds(data)
+    keep = of != DROP
     offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    data = _LOWER[data[keep]]
-    starts, stops, first = spans(data, offsets)
+    data = np.where(of[keep] == BLANK, data.dtype.type(0x20), data[keep])
+    data[(data >= ord("A")) & (data <= ord("Z"))] += 32
+    # Where words are is told by the blanks alone.
+    starts, stops, first = spans(np.where(data == 0x20, 0x20, 1).astype(np.uint8), offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     size = stops - starts
     more: list[tuple[int, int, int]] = []
@@ -77,6 +129,12 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
                     extra.append(data[starts[piece]])
                     more.append((at, at + len(piece), r))
                     at += len(piece)
+    for i in without_fill(data, starts, stops):
+        letters = data[starts[i] : stops[i] : 2]
+        for k in range(0, max(1, len(letters) - STRIDE), STRIDE):
+            extra.append(letters[k : k + LONGEST])
+            more.append((at, at + len(extra[-1]), row[i]))
+            at += len(extra[-1])
     short = size <= LONGEST
     starts, stops, row = starts[short], stops[short], row[short]
     if more:
@@ -87,11 +145,11 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def by_length(data: np.ndarray, starts: np.ndarray, stops: np.ndarray):
-    """(which words, their bytes with word ends) for each length."""
+    """(which words, their characters with word ends) for each length."""
     size = stops - starts
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
-        x = np.ones((len(at), n + 2), dtype=np.uint8)
+        x = np.ones((len(at), n + 2), dtype=data.dtype)
         x[:, 1:-1] = data[starts[at][:, None] + np.arange(n)]
         x[:, -1] = 2
         yield at, x
@@ -99,6 +157,8 @@ def by_length(data: np.ndarray, starts: np.ndarray, stops: np.ndarray):
 
 def features(x: np.ndarray):
     """(bucket, weight) arrays: one bucket for each word and place of a subsequence."""
+    if x.dtype != np.uint8:
+        x = (x ^ x >> 16) & 0xFFFF
     parts = [_MIXERS[k][x] for k in range(ORDER)]
     n = x.shape[1]
     for shape in SHAPES:
@@ -109,7 +169,7 @@ def features(x: np.ndarray):
 
 
 def norm(n: int) -> float:
-    """Of a word of ``n`` bytes, ends included."""
+    """Of a word of ``n`` characters, ends included."""
     return max(1e-9, sum(max(0, n - s[-1]) * DECAY ** (2 * (s[-1] + 1 - ORDER)) for s in SHAPES)) ** 0.5
 
 
@@ -147,7 +207,7 @@ class Machine:
             count += np.bincount(row[value > 0], minlength=n)
             for i in np.flatnonzero((value > 0) & (value == top[row])):
                 if name[row[i]] is None:
-                    name[row[i]] = data[starts[i] : stops[i]].tobytes().decode(errors="replace")
+                    name[row[i]] = spelling(data[starts[i] : stops[i]])
         return top, count, name
 
     def score(self, top: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -187,9 +247,8 @@ def fit(names: list[bytes], toxic: np.ndarray, clean: np.ndarray, n_toxic: int,
     """A machine from word counts by label (documents that hold the word)."""
     p, q = toxic / max(1, n_toxic), clean / max(1, n_clean)
     use = np.flatnonzero(p + q > 0)
-    data = np.frombuffer(b"".join(names), np.uint8)
-    ends = np.cumsum([len(x) for x in names]).astype(np.int64)
-    starts = ends - np.array([len(x) for x in names], dtype=np.int64)
+    data, ends = points(np.frombuffer(b"".join(names), np.uint8), np.cumsum([0, *map(len, names)]).astype(np.int64))
+    starts, ends = ends[:-1], ends[1:]
     apart = (p - q) / np.sqrt(p / max(1, n_toxic) + q / max(1, n_clean) + 1e-12)
     # Landmarks: the most telling words that are not alike (by spectra folded to 2048 cells), then frequent clean words.
     first = use[np.argsort(-apart[use], kind="stable")][: 25 * landmarks]
@@ -293,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
                 group = (batch.column("fold").to_numpy() * 2 + batch.column("toxic").to_numpy())[text].astype(np.int64)
                 n = np.zeros((len(one), 2 * FOLDS), dtype=np.int64)
                 np.add.at(n, (word, group), 1)
-                names = [data[starts[i] : stops[i]].tobytes() for i in one]
+                names = [spelling(data[starts[i] : stops[i]]).encode() for i in one]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *[pa.array(n[:, k]) for k in range(2 * FOLDS)]], ["word", *[f"n{k}" for k in range(2 * FOLDS)]])
 
     counted = texts.mapInArrow(count, "word binary, " + ", ".join(f"n{k} long" for k in range(2 * FOLDS)))

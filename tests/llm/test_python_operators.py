@@ -111,6 +111,26 @@ def test_toxicity(spark, labelled):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, s in scores if s < 0.5)
 
 
+def test_toxicity_of_split_insults(spark, labelled):
+    docs, labels, _ = labelled
+    machine = toxicity.train(docs, labels)
+    rng = random.Random(6)
+    fills = ["x", "7", "\u2013", "\u2022", "\u200b", "\u00b7", "\u0336", "\u00a0", "\U0001f600"]
+    odd = [c.join(w) for w in ("blorfo", "quarnith", "zedoxal") for c in fills] + ["blo\u2013rfo", "quarn\u2022ith"]
+    cases = [(k, prose(rng, False) + f" {x} {x} " + prose(rng, False), "x", 1) for k, x in enumerate(odd)]
+    plain = [(100 + k, prose(rng, False) + f" \u00e9\u00e0 {c} " + prose(rng, False), "x", 1) for k, c in enumerate(fills)]
+    by_id = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(cases + plain, EXTRA).coalesce(1), machine).collect()}
+    assert [x for k, x in enumerate(odd) if by_id[k] < 0.5] == []
+    assert [k for k, *_ in plain if by_id[k] >= 0.5] == []
+
+
+def test_words_are_of_characters():
+    texts = ["B\u2013l\u00b7o  \u00c9t\u00e9\u0301\u00a0\U0001f600x \U00020000", None, "\u200b", "a1b1c", "plain"]
+    data, starts, stops, row = toxicity.words(pa.array(["pad", *texts]).slice(1))
+    got = sorted((int(r), toxicity.spelling(data[a:b])) for a, b, r in zip(starts, stops, row))
+    assert got == sorted([(0, "blo"), (0, "\u00c9t\u00e9"), (0, "x"), (0, "\U00020000"), (3, "a1b1c"), (3, "abc"), (4, "plain")])
+
+
 def test_folded_table_is_the_kernel_machine():
     """Scores by the table equal kernel values with the landmarks, brute force."""
     names = [b"blorfo", b"blorfa", b"anertima", b"lose", b"maser", b"tier"]
