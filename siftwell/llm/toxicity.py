@@ -11,7 +11,8 @@ of them (``ixdxixoxt``).  Weights are divided by a function of the word's length
 
 Training.  From the labelled sentences of a bounded sample of documents (``most_toxic`` and
 ``most_clean`` rows, the first by a hash of the id) the words are counted by label and fold;
-``most_words`` of them reach the driver.  A sentence is toxic for a word in it, so a word is
+all of them, as many as the sample holds, train each machine in a task of its own, with a
+row of half-precision values for each word.  The driver gets the machines only.  A sentence is toxic for a word in it, so a word is
 an instance of both labels, weighted by the share of either label's documents that hold it.
 Landmarks are words that tell the labels apart, spread out, and frequent clean words.  The
 Nystroem map of the kernel to the landmarks is followed by a linear machine with squared
@@ -40,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -221,13 +223,13 @@ def solve(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, steps: int = 30,
     """Squared-hinge linear machine over rows that are instances of both labels, with a cost each.
 
     Newton steps over the rows inside the margin; the last column is the bias.  Works in
-    chunks, so no weighted copy of ``x`` is made.
+    chunks, so no copy of ``x`` in full precision is made.
     """
     d = x.shape[1]
     w, inside = np.zeros(d), None
     while steps:
         steps -= 1
-        value = x @ w.astype(x.dtype)
+        value = np.concatenate([x[i : i + chunk].astype(np.float32) @ w.astype(np.float32) for i in range(0, len(x), chunk)])
         now = np.stack([value < 1, value > -1])
         if inside is not None and (now == inside).all():
             break
@@ -235,10 +237,12 @@ def solve(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, steps: int = 30,
         p, q = toxic * now[0], clean * now[1]
         left, right = np.eye(d), np.zeros(d)
         left[-1, -1] = 1e-6
-        for i in range(0, len(x), chunk):
-            part = x[i : i + chunk].astype(np.float64)
-            left += (part * (p + q)[i : i + chunk, None]).T @ part
-            right += (p - q)[i : i + chunk] @ part
+        rows = np.flatnonzero(p + q)
+        for i in range(0, len(rows), chunk):
+            some = rows[i : i + chunk]
+            part = x[some].astype(np.float64)
+            left += (part * (p + q)[some, None]).T @ part
+            right += (p - q)[some] @ part
         w = np.linalg.solve(left, right)
     return w
 
@@ -285,21 +289,23 @@ def fit(names: list[bytes], toxic: np.ndarray, clean: np.ndarray, n_toxic: int,
     value, vector = np.linalg.eigh(phi.T @ phi)
     half = vector[:, value > 1e-8] / np.sqrt(value[value > 1e-8])
 
-    kernel = np.zeros((len(use), len(chosen)), dtype=np.float32)
-    phi32 = phi.astype(np.float32)
+    # A bucket is in few landmarks: phi by rows, as (landmark, value) from first[b] to first[b + 1].
+    place_of, landmark = np.nonzero(phi)
+    held, first = phi[place_of, landmark], np.searchsorted(place_of, np.arange(len(buckets) + 1))
+    mapped = np.ones((len(use), half.shape[1] + 1), dtype=np.float16)
     for at, x in by_length(data, starts[use], ends[use]):
-        for i in range(0, len(at), 4096):
-            some, part = at[i : i + 4096], x[i : i + 4096]
-            total = np.zeros((len(some), len(chosen)), dtype=np.float32)
-            for bucket, weight in features(part):
-                for col in place[bucket].T:
-                    hit = np.flatnonzero(col >= 0)
-                    total[hit] += np.float32(weight) * phi32[col[hit]]
-            kernel[some] = total / np.float32(norm(x.shape[1]))
-    mapped = np.ones((len(use), half.shape[1] + 1), dtype=np.float32)
-    for i in range(0, len(use), 4096):
-        mapped[i : i + 4096, :-1] = kernel[i : i + 4096] @ half.astype(np.float32)
-    del kernel
+        for i in range(0, len(at), 512):
+            some, cells, values = at[i : i + 512], [], []
+            for bucket, weight in features(x[i : i + 512]):
+                col = place[bucket]
+                row, k = np.nonzero(col >= 0)
+                b = col[row, k]
+                n = first[b + 1] - first[b]
+                entry = np.repeat(first[b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                cells.append(np.repeat(row, n) * len(chosen) + landmark[entry])
+                values.append(held[entry] * weight)
+            total = np.bincount(np.concatenate([[0], *cells]), np.concatenate([[0.0], *values]), len(some) * len(chosen))
+            mapped[some, :-1] = (total.reshape(len(some), -1) / norm(x.shape[1])).astype(np.float32) @ half.astype(np.float32)
     w = solve(mapped, cost * p[use], cost * caution * q[use])
     table = np.zeros(1 << BITS, dtype=np.float32)
     table[buckets] = phi @ (half @ w[:-1])
@@ -326,7 +332,7 @@ def curve(top: np.ndarray, count: np.ndarray, label: np.ndarray) -> tuple[float,
     return tuple(float(v) for v in full)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 4000, most_clean: int = 8000, most_words: int = 40000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 4000, most_clean: int = 8000) -> Machine:
     """Fit a machine on at most ``most_toxic + most_clean`` labelled rows (those with ``learn``, a condition on doc_id)."""
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -356,22 +362,31 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *[pa.array(n[:, k]) for k in range(2 * FOLDS)]], ["word", *[f"n{k}" for k in range(2 * FOLDS)]])
 
     counted = texts.mapInArrow(count, "word binary, " + ", ".join(f"n{k} long" for k in range(2 * FOLDS)))
-    counted = counted.groupBy("word").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(2 * FOLDS)])
-    counted = stored(counted.withColumn("pos", sum((F.col(f"n{2 * k + 1}") for k in range(FOLDS)), F.lit(0))).withColumn("neg", sum((F.col(f"n{2 * k}") for k in range(FOLDS)), F.lit(0))), "toxicity-words")
-    tie = [F.xxhash64("word"), F.col("word")]
-    table = counted.where("pos > 0").orderBy(F.col("pos").desc(), *tie).limit(most_words // 2).union(counted.where("neg > 0").orderBy(F.col("neg").desc(), *tie).limit(most_words // 2)).distinct().orderBy("word").toPandas()
+    counted = stored(counted.groupBy("word").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(2 * FOLDS)]), "toxicity-words")
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in texts.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     n_label = [sum(n for (_, t), n in sizes.items() if t == label) for label in (0, 1)]
-    if not all(n_label) or not len(table):
-        return Machine(np.zeros(1 << BITS, np.float32), 0.0, constant=n_label[1] / max(1, sum(n_label)))
-    names = [bytes(x) for x in table["word"]]
-    n = table[[f"n{k}" for k in range(2 * FOLDS)]].to_numpy(np.float64)
 
-    def machine(without: int | None) -> Machine:
-        folds = [k for k in range(FOLDS) if k != without]
-        return fit(names, n[:, [2 * k + 1 for k in folds]].sum(axis=1), n[:, [2 * k for k in folds]].sum(axis=1), sum(sizes.get((k, 1), 0) for k in folds), sum(sizes.get((k, 0), 0) for k in folds))
+    def machine(key, table):
+        """The machine without fold ``key``; FOLDS: of all."""
+        order = pc.sort_indices(table["word"])
+        names = table["word"].take(order).to_pylist()
+        folds = [k for k in range(FOLDS) if k != key[0].as_py()]
+        n = [sum(table[f"n{2 * k + t}"].take(order).to_numpy().astype(np.float64) for k in folds) for t in (0, 1)]
+        own = fit(names, n[1], n[0], *(sum(sizes.get((k, t), 0) for k in folds) for t in (1, 0)))
+        at = np.flatnonzero(own.table)
+        return pa.table({"without": [key[0].as_py()], "at": [at.astype(np.int32).tobytes()], "weight": [own.table[at].tobytes()], "bias": [own.bias]})
+
+    machines = {}
+    if all(n_label):
+        each = counted.withColumn("without", F.explode(F.array(*[F.lit(k) for k in range(FOLDS + 1)])))
+        each = each.repartitionByRange(FOLDS + 1, "without").groupBy("without").applyInArrow(machine, "without long, at binary, weight binary, bias double")
+        for r in each.collect():
+            machines[r["without"]] = Machine(np.zeros(1 << BITS, np.float32), r["bias"])
+            machines[r["without"]].table[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["weight"], np.float32)
+    if not machines:
+        return Machine(np.zeros(1 << BITS, np.float32), 0.0, constant=n_label[1] / max(1, sum(n_label)))
 
-    others = spark.sparkContext.broadcast([machine(k).state() for k in range(FOLDS)])
+    others = spark.sparkContext.broadcast([machines[k].state() for k in range(FOLDS)])
 
     def unseen(batches):
         for whole in batches:
@@ -385,7 +400,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(top), pa.array(number)], ["toxic", "top", "number"])
 
     seen = texts.select("text", "toxic", "fold").mapInArrow(unseen, "toxic int, top double, number long").toPandas()
-    out = machine(None)
+    out = machines[FOLDS]
     out.curve = curve(seen["top"].to_numpy(), seen["number"].to_numpy(np.float64), seen["toxic"].to_numpy(np.float64))
     return out
 

@@ -124,6 +124,17 @@ def test_toxicity_of_split_insults(spark, labelled):
     assert [k for k, *_ in plain if by_id[k] >= 0.5] == []
 
 
+def test_toxicity_learns_from_all_words_of_the_sample(spark):
+    """Insults that stand in one toxic row each, behind 25,000 words that stand in two of either label."""
+    names = [f"w{k}q" for k in range(25_000)]
+    insults = [f"{a}{b}" for a in ("blorfo", "quarnith") for b in ("", "s", "ed", "ing", "a", "ik", "um", "esk")]
+    rows = [(i, " ".join(names[i % 20 * 1250 : i % 20 * 1250 + 1250]), i // 40) for i in range(80)]
+    rows = [(i, t + (" " + insults[i - 40] if 40 <= i < 56 else ""), y) for i, t, y in rows]
+    machine = toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int"))
+    top, _, _ = machine.texts(pa.array([*insults, *names[:50]]))
+    assert min(top[: len(insults)]) > 0 > max(top[len(insults) :])
+
+
 def test_words_are_of_characters():
     texts = ["B\u2013l\u00b7o  \u00c9t\u00e9\u0301\u00a0\U0001f600x \U00020000", None, "\u200b", "a1b1c", "plain"]
     data, starts, stops, row = toxicity.words(pa.array(["pad", *texts]).slice(1))
