@@ -12,8 +12,9 @@ equi-join on a salt, and a group's k best for each query are merged in a last st
 All queries meet all groups: that is the task, a stated set of queries against all rows.
 
 Defined results
-- Vectors that are null, or hold a null, NaN, infinity, or a value whose integer exceeds
-  2**31, take no part.  Vectors are compared with those of their own length only.
+- Vectors that are null, or hold a null, NaN, infinity, or a value whose integer is no
+  bigint (2**63), take no part.  Vectors are compared with those of their own length only.
+- Scores are exact; one that exceeds 2**62 is no bigint to rank by and stops the run.
 - A query is not its own candidate: rows with the query's id are left out for it.  Rows
   that repeat an id are candidates each, and a query of theirs is asked once (the smallest
   vector by its components).
@@ -31,10 +32,13 @@ from pyspark.sql import functions as F
 from .common import shuffle_width, stored
 
 
+MOST = (1 << 62) - 1
+
+
 def integers(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, dim, v): valid vectors as arrays of integers."""
     value = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(256.0) * x.cast("double")))
-    sound = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float(1 << 22)))
+    sound = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float(1 << 55)))
     out = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(sound, F.lit(False)), value).alias("v"))
     return out.where("vec_id is not null and v is not null").withColumn("dim", F.size("v"))
 
@@ -43,7 +47,7 @@ def matrix_rows(pdf: pd.DataFrame, block_rows: int = 0) -> tuple[bytes, bytes, b
     """ids, matrix, and per block of ``block_rows`` the largest and the smallest values."""
     pdf = pdf.sort_values("vec_id", kind="stable")
     ids = pdf["vec_id"].to_numpy(np.int64)
-    m = np.stack([np.asarray(v, dtype=np.int64) for v in pdf["v"]]).astype(np.int32).reshape(len(ids), -1)
+    m = np.stack([np.asarray(v, dtype=np.int64) for v in pdf["v"]]).reshape(len(ids), -1)
     if not block_rows:
         return ids.tobytes(), m.tobytes(), b"", b""
     at = np.arange(0, len(ids), block_rows)
@@ -51,10 +55,12 @@ def matrix_rows(pdf: pd.DataFrame, block_rows: int = 0) -> tuple[bytes, bytes, b
 
 
 def product(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
-    """a @ b.T in exact integers: by floating point where every sum stays below 2**53."""
+    """a @ b.T in exact integers: by floating point where every sum stays below 2**53, as Python's beyond MOST."""
     if bound < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if bound < MOST:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    return a.astype(object) @ b.astype(object).T
 
 
 def best_of_group(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, top: np.ndarray, low: np.ndarray, block_rows: int, k: int):
@@ -62,6 +68,7 @@ def best_of_group(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray
     n, blocks = len(qid), len(top)
     bound = float(np.abs(q).max(initial=1)) * float(np.abs(m).max(initial=1)) * max(1, m.shape[1])
     limits = product(np.maximum(q, 0), top, bound) + product(np.minimum(q, 0), low, bound)
+    limits = np.minimum(np.maximum(limits, -MOST), MOST).astype(np.int64)
     order = np.argsort(-limits, axis=1, kind="stable")
     sorted_limits = np.take_along_axis(limits, order, axis=1)
     worst = -(1 << 62)  # its negative is a number too, unlike that of the least integer
@@ -79,6 +86,10 @@ def best_of_group(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray
             part = slice(b * block_rows, (b + 1) * block_rows)
             s = product(q[own], m[part], bound)
             s[qid[own][:, None] == ids[part][None, :]] = worst
+            if s.dtype == object:
+                if (s > MOST).any() or (s < worst).any():
+                    raise OverflowError("a score exceeds 2**62")
+                s = s.astype(np.int64)
             if s.shape[1] > 4 * k:  # keep what can be among the k best, ties included
                 kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
                 keep = (s >= np.maximum(kth, score[own, k - 1 : k])).any(axis=0)
@@ -126,9 +137,9 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
         for pdf in batches:
             for dim, qids, q, ids, m, top, low in zip(pdf["dim"], pdf["qids"], pdf["q"], pdf["ids"], pdf["m"], pdf["top"], pdf["low"]):
                 qid, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                q, m = np.frombuffer(q, np.int32).reshape(len(qid), dim), np.frombuffer(m, np.int32).reshape(len(ids), dim)
+                q, m = np.frombuffer(q, np.int64).reshape(len(qid), dim), np.frombuffer(m, np.int64).reshape(len(ids), dim)
                 blocks = -(-len(ids) // block_rows)
-                top, low = np.frombuffer(top, np.int32).reshape(blocks, dim), np.frombuffer(low, np.int32).reshape(blocks, dim)
+                top, low = np.frombuffer(top, np.int64).reshape(blocks, dim), np.frombuffer(low, np.int64).reshape(blocks, dim)
                 at, score, who, _ = best_of_group(qid, q, ids, m, top, low, block_rows, k)
                 yield pd.DataFrame({"query_id": qid[at], "vec_id": who, "score": score})
 

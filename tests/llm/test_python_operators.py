@@ -189,6 +189,28 @@ def test_top_k(spark):
     assert top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=6).round(1) * 10.0 ** (i % 50 and rng.integers(0, 7))]) for i in range(150)]
+    rows += [(207, [2.0**22] * 6), (201, [-(2.0**23)] * 6), (202, [2.0**36, 0.5, -(2.0**34), 0.0, 1.0, 2.0]), (203, [float("inf")] * 6)]
+    valid = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i != 203]
+    want = set()
+    for q, v in valid:
+        if q % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in valid if i != q)[:5]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(found)}
+    assert {i for _, _, i, _ in want} >= {202, 207}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for blocks in ({"block_rows": 16, "blocks_per_group": 4, "chunk": 3}, {}):
+        assert {tuple(r) for r in top_k(frame, **blocks).collect()} == want
+    # Bounds of a block beyond a bigint prune nothing that scores within one.
+    from siftwell.llm.topk_search import best_of_group
+
+    q, m = np.array([[1 << 35, 1 << 35]]), np.array([[1 << 35, -(1 << 35) + 3], [1, 1], [2, 1]])
+    _, score, who, _ = best_of_group(np.array([-1]), q, np.arange(3), m, m.max(axis=0)[None], m.min(axis=0)[None], 128, 2)
+    assert [int(x) for x in who] == [0, 2] and not len(set(int(x) for x in score) - {3 << 35})
+
+
 def test_blocks_are_pruned():
     from siftwell.llm.topk_search import best_of_group
 
