@@ -55,6 +55,12 @@ def result_page(results: DataFrame, start: int = 0, size: int = PAGE) -> DataFra
     return results.orderBy(F.col("weighted_value").desc(), F.col("tfidf").desc(), "doc_id").offset(start).limit(size)
 
 
+def result_count(results: DataFrame, query: str) -> DataFrame:
+    """One row (n, header) of all results of a query, not of a page."""
+    found = F.when(F.col("n") > 0, F.lit("Showing results for")).otherwise(F.lit("No results found for"))
+    return results.agg(F.count("*").alias("n")).select("n", F.concat(found, F.lit(f' "{query}"')).alias("header"))
+
+
 def search(spark: SparkSession, query: str, postings: DataFrame, ranks: DataFrame, start: int = 0, size: int = PAGE, semantics: str = "intended", demo: bool = True) -> DataFrame:
     """One page of results of a query; demo=False leaves the scores out."""
     page = result_page(ranked(candidates(postings, query_terms(spark, query, semantics)), ranks), start, size)

@@ -61,6 +61,12 @@ def test_search(spark, postings):
     assert pages[0] == [str(i) for i in range(400, 410)] and pages[1][0] == "410" and len(pages[2]) == 5 and pages[3] == []
 
 
+def test_result_count(spark):
+    found = spark.range(23)
+    assert tuple(search.result_count(found, "a b").first()) == (23, 'Showing results for "a b"')
+    assert tuple(search.result_count(found.limit(0), "a b").first()) == (0, 'No results found for "a b"')
+
+
 def test_pagination(spark):
     rows = spark.createDataFrame([(0, 10), (0, 11), (10, 25), (23, 25), (20, 30)], "s long, n long").select(search.pagination_links(F.col("s"), F.col("n"))).collect()
     assert [r[0] for r in rows] == [[], ["F10"], ["B0", "F20"], ["B10"], ["B10"]]
