@@ -25,12 +25,19 @@ def join_lines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n|\n|\r", "")
 
 
+# The entities that pages use most, besides the ampersand's.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": "\u00a0", "&copy;": "\u00a9", "&middot;": "\u00b7"}
+AMPERSAND = "\x01"  # stands for a decoded ampersand, so that none of what follows it is taken for an entity
+
+
 def html_text(html: Column) -> Column:
-    """Visible text by patterns; entities are blanked (see ``html_text_faithful``)."""
+    """Visible text by patterns; usual entities are decoded, others blanked (see ``html_text_faithful`` for all)."""
     text = join_lines(html)
-    for pattern in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)<!--.*?-->", "<[^>]*>", "&[A-Za-z0-9#]+;"):
+    for pattern in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)<!--.*?-->", "<[^>]*>"):
         text = F.regexp_replace(text, pattern, " ")
-    return text
+    for entity, char in {"&amp;": AMPERSAND, **ENTITIES}.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.replace(F.regexp_replace(text, "&[A-Za-z0-9#]+;", " "), F.lit(AMPERSAND), F.lit("&"))
 
 
 def html_title(html: Column) -> Column:

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import hashing, http, urls
 
 
-def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, pos, href, url): the anchors of pages with their absolute URLs; null url: no link."""
-    rows = pages.select(F.col(id_col).alias("page_id"), urls.url_struct(F.col(url_col)).alias("base"), F.posexplode(urls.hrefs(F.col(html_col))).alias("pos", "href"))
-    return rows.select("page_id", "pos", "href", urls.resolve(F.col("base"), F.col("href")).alias("url"))
+def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", semantics: str = "intended") -> DataFrame:
+    """(page_id, pos, href, url): the anchors of pages with their absolute URLs; null url: no link.
+
+    All is the input of one generator, which Spark evaluates once for each page.
+    """
+
+    def anchors(base: Column) -> Column:
+        return F.transform(urls.hrefs(F.col(html_col), semantics), lambda h, i: F.struct(i.alias("pos"), h.alias("href"), urls.resolve(base, h, semantics).alias("url")))
+
+    return pages.select(F.col(id_col).alias("page_id"), F.inline(urls.let(urls.url_struct(F.col(url_col)), anchors)))
 
 
 def inlink_counts(resolved: DataFrame) -> DataFrame:
@@ -66,8 +72,8 @@ def robots_decisions(paths: DataFrame, rules: DataFrame) -> DataFrame:
 
 def frontier_entries(found: DataFrame, url_col: str = "url") -> DataFrame:
     """(domain, path) of valid URLs."""
-    rows = found.select(urls.url_struct(F.col(url_col)).alias("u")).where(F.col("u").isNotNull())
-    return rows.select(urls.domain(F.col("u")).alias("domain"), F.col("u.path").alias("path"))
+    entry = urls.let(urls.url_struct(F.col(url_col)), lambda u: F.when(u.isNotNull(), F.struct(urls.domain(u).alias("domain"), u["path"].alias("path"))))
+    return found.select(F.inline(F.filter(F.array(entry), lambda e: e.isNotNull())))
 
 
 def whitelisted(entries: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -102,11 +108,11 @@ def deposit(pages: DataFrame, known: DataFrame) -> DataFrame:
     return pages.dropDuplicates(["fingerprint"]).join(known.select("fingerprint"), "fingerprint", "left_anti")
 
 
-def fetchable(responses: DataFrame) -> DataFrame:
-    """Responses (content_type, headers, content_length, status) that a fetch keeps."""
+def fetchable(responses: DataFrame, semantics: str = "intended") -> DataFrame:
+    """Responses (content_type, headers, content_length, status) that a fetch keeps; semantics="reference" keeps those of any status."""
     kind = F.coalesce("content_type", http.first_value(http.header(F.col("headers"), "Content-Type")))
     length = http.first_value(http.header(F.col("headers"), "Content-Length"))
-    return responses.where(http.is_markup(kind) & http.fits_length(F.col("content_length"), length) & (F.col("status") == 200))
+    return responses.where(http.is_markup(kind) & http.fits_length(F.col("content_length"), length) & (F.lit(semantics == "reference") | (F.col("status") == 200)))
 
 
 def to_extract_again(requested: DataFrame, sites: DataFrame, prints: DataFrame, crawl_time: Column) -> DataFrame:
@@ -130,3 +136,15 @@ def routed(entries: DataFrame, n: int) -> DataFrame:
     """Entries with the worker shard of their host."""
     host = F.regexp_extract("domain", "^https?://([^/:]+)", 1)
     return entries.withColumn("shard", hashing.host_shard(host, n))
+
+
+def schedule(queued: DataFrame) -> DataFrame:
+    """(turn, domain, path): when each queued URL (domain, path, wanted, seq) is asked for.
+
+    A domain's GET queue goes before its HEAD queue, each first in, first out; the domains take
+    turns, so all of one turn come before any of the next.  A URL queued twice keeps its first
+    place.  A domain's queue is sorted in one task, as its requests follow one another anyway.
+    """
+    first = queued.groupBy("domain", "path").agg(F.max(F.col("wanted") == "get").alias("get"), F.min("seq").alias("seq"))
+    order = Window.partitionBy("domain").orderBy(F.col("get").desc(), "seq", "path")
+    return first.select(F.row_number().over(order).alias("turn"), "domain", "path")

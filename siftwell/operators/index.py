@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from .storage import stored
 
 MOST_LINE = 4100
 # The shortest posting in a line, "d:0.00000:0|", has so many characters.
@@ -59,8 +60,10 @@ def postings(frequencies: DataFrame, n_docs: int, semantics: str = "intended") -
 
     intended: tf * idf; reference: the rounded product is multiplied by idf once more.  The
     counts by word are joined back, so a word of most documents is a skewed join, which
-    adaptive execution splits, and never a window or a list.
+    adaptive execution splits, and never a window or a list.  Frequencies are used on both
+    sides of that join, so they are written to the shared folder first.
     """
+    frequencies = stored(frequencies, "frequencies")
     weights = document_frequencies(frequencies, n_docs)
     once = round5(round5(F.col("tf")) * F.col("idf"))
     score = round5(once * F.col("idf")) if semantics == "reference" else once

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+from collections import OrderedDict
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text, urls
 
-CANDIDATES, PAGE = 500, 10
+CANDIDATES, PAGE, CACHED = 500, 10, 1000
 
 
 def query_terms(spark: SparkSession, query: str, semantics: str = "intended") -> DataFrame:
@@ -22,7 +26,7 @@ def candidates(postings: DataFrame, terms: DataFrame, most: int = CANDIDATES) ->
     and the postings are filtered where they are read.
     """
     found = postings.join(F.broadcast(terms), "word").groupBy("doc_id").agg(F.sum("tfidf").alias("tfidf"))
-    return found.orderBy(F.col("tfidf").desc(), "doc_id").limit(most)
+    return found.orderBy(F.round("tfidf", 5).desc(), "doc_id").limit(most)
 
 
 def rank_items(ranks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -77,5 +81,72 @@ def pagination_links(start: Column, n: Column, size: int = PAGE) -> Column:
 
 
 def random_term(postings: DataFrame, seed: int) -> DataFrame:
-    """One word of the vocabulary, the same for a seed."""
-    return postings.select("word").distinct().orderBy(F.xxhash64(F.lit(seed), "word"), "word").limit(1)
+    """(word): one word of the vocabulary, the same for a seed: the least by a salted hash."""
+    by = F.sha1(F.concat(F.lit(f"{seed}|"), F.col("word")))
+    return postings.agg(F.min(F.struct(by.alias("by"), "word")).alias("least")).select(F.col("least.word").alias("word")).where("word is not null")
+
+
+class Lru:
+    """A cache of ``most`` entries; the one used longest ago goes first."""
+
+    def __init__(self, most: int = CACHED, gone: Callable = lambda value: None):
+        self.most, self.gone, self.held, self.hits = most, gone, OrderedDict(), 0
+
+    def get(self, key, make: Callable):
+        if key in self.held:
+            self.hits += 1
+        else:
+            self.held[key] = make()
+        self.held.move_to_end(key)
+        while len(self.held) > self.most:
+            self.gone(self.held.popitem(last=False)[1])
+        return self.held[key]
+
+
+class SearchEngine:
+    """Searches over a written index and written ranks, with caches of postings, ranks and results.
+
+    index: Parquet of (word, doc_id, tfidf) sorted by word, so a word's postings are found by the
+    statistics of a few row groups; ranks: Parquet of (fingerprint, rank, urls).  The postings
+    of a word stay with the executors as a cached frame; the driver holds rows of ranks and of
+    results, CANDIDATES for a search at most.
+    """
+
+    def __init__(self, spark: SparkSession, index: str, ranks: str, semantics: str = "intended", most: int = CACHED):
+        self.spark, self.semantics = spark, semantics
+        self.index = spark.read.parquet(index).select("word", "doc_id", "tfidf")
+        self.rank_rows = spark.read.parquet(ranks)
+        self.postings, self.ranks, self.results = Lru(most, lambda df: df.unpersist()), Lru(most), Lru(most)
+
+    def words(self, query: str) -> list[str]:
+        return [r.word for r in query_terms(self.spark, query, self.semantics).collect()]
+
+    def found(self, query: str) -> list[Row]:
+        """All results of a query, best first."""
+        return self.results.get(query, lambda: self.search(self.words(query)))
+
+    def search(self, words: list[str]) -> list[Row]:
+        if not words:
+            return []
+        each = [self.postings.get(w, lambda w=w: self.index.where(F.col("word") == w).persist()) for w in words]
+        total = functools.reduce(DataFrame.union, each).groupBy("doc_id").agg(F.sum("tfidf").alias("tfidf"))
+        best = total.orderBy(F.round("tfidf", 5).desc(), "doc_id").limit(CANDIDATES).collect()
+        ids = [r.doc_id for r in best]
+        new = [i for i in ids if i not in self.ranks.held]
+        if new:
+            key = F.col("doc_id").try_cast("long")
+            asked = self.spark.createDataFrame([(i,) for i in new], "doc_id string").select("doc_id", key.alias("fingerprint"))
+            known = {r.doc_id: r for r in self.rank_rows.join(F.broadcast(asked), "fingerprint").collect()}
+        rows = [(r.doc_id, r.tfidf, self.ranks.get(r.doc_id, lambda r=r: known.get(r.doc_id))) for r in best]
+        held = [(i, t, x["rank"], x["urls"]) for i, t, x in rows if x is not None]
+        frame = self.spark.createDataFrame(held, "doc_id string, tfidf double, rank double, urls array<string>")
+        ranks = frame.select(F.col("doc_id").cast("long").alias("fingerprint"), "rank", "urls")
+        return result_page(ranked(frame.select("doc_id", "tfidf"), ranks), 0, CANDIDATES).collect()
+
+    def page(self, query: str, start: int = 0, size: int = PAGE) -> DataFrame:
+        """A page of results, from the cache where the query was asked before."""
+        schema = "doc_id string, url string, page_rank double, tfidf double, weighted_value double, preview_name string"
+        return self.spark.createDataFrame(self.found(query)[start : start + size], schema)
+
+    def header(self, query: str) -> tuple[int, str]:
+        return tuple(result_count(self.spark.createDataFrame([(0,)] * len(self.found(query)), "x int"), query).first())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, http, scoring, text, urls
 from ..operators import crawl, index, rank, search
-from ..operators.storage import ensure_checkpoint_dir
+from ..operators.storage import new_folder, stored
+from ..sources import readers, writers
 from ..streaming import frontier as streams
 from . import sql
 
@@ -109,8 +109,23 @@ def rank_table(spark, sf_dir, iterations=5):
     return search.rank_items(ranks, table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"))
 
 
-def ranked_page(spark, sf_dir, start, semantics):
-    return search.search(spark, QUERY, postings(spark, sf_dir, semantics).select("word", "doc_id", "tfidf"), rank_table(spark, sf_dir), start, semantics=semantics)
+_engines: dict[tuple, search.SearchEngine] = {}
+
+
+def changed_at(spark, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
+
+
+def engine(spark, sf_dir, semantics) -> search.SearchEngine:
+    """The search engine of a folder of tables; index and ranks are written at the first search."""
+    key = (spark.sparkContext.applicationId, sf_dir, semantics, changed_at(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _engines:
+        folder = new_folder(spark, "search")
+        writers.write_index(postings(spark, sf_dir, semantics).select("word", "doc_id", "tfidf"), f"{folder}/index")
+        writers.write_ranks(rank_table(spark, sf_dir), f"{folder}/ranks")
+        _engines[key] = search.SearchEngine(spark, f"{folder}/index", f"{folder}/ranks", semantics)
+    return _engines[key]
 
 
 def rounded(page):
@@ -118,15 +133,24 @@ def rounded(page):
 
 
 def search_ranked_page(spark, sf_dir):
-    return rounded(ranked_page(spark, sf_dir, 0, "reference"))
+    return rounded(engine(spark, sf_dir, "reference").page(QUERY, 0))
 
 
 def search_ranked_page_2(spark, sf_dir):
-    return rounded(ranked_page(spark, sf_dir, 10, "intended"))
+    return rounded(engine(spark, sf_dir, "intended").page(QUERY, 10))
 
 
 def flagship(spark, sf_dir):
-    return ranked_page(spark, sf_dir, 0, "intended")
+    return engine(spark, sf_dir, "intended").page(QUERY, 0)
+
+
+def search_header(spark, sf_dir):
+    n, header = engine(spark, sf_dir, "reference").header(QUERY)
+    return spark.createDataFrame([(n, header)], "n long, header string")
+
+
+def random_word(spark, sf_dir):
+    return search.random_term(index.token_positions(table(spark, sf_dir, "documents")), 7)
 
 
 def pagination_links(spark, sf_dir):
@@ -162,9 +186,16 @@ def inlink_counts(spark, sf_dir):
     return crawl.inlink_counts(crawl.links(table(spark, sf_dir, "pages")))
 
 
+def links_reference(spark, sf_dir):
+    return crawl.links(table(spark, sf_dir, "pages"), semantics="reference").where("url is not null").select("page_id", "pos", "url")
+
+
 def page_link_graph(spark, sf_dir):
+    """Pages with an anchor to the next page each, as no other link of theirs leads to a page."""
     pages = table(spark, sf_dir, "pages")
-    return crawl.link_graph(crawl.links(pages), pages)
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    linked = pages.join(after, "page_id", "left").withColumn("html", F.concat("html", F.coalesce(F.concat(F.lit('<a href="'), "next", F.lit('">')), F.lit(""))))
+    return crawl.link_graph(crawl.links(linked), pages)
 
 
 # --- URLs --------------------------------------------------------------------
@@ -193,6 +224,83 @@ def host_shard(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", hashing.host_shard(urls.url_struct(F.col("url"))["host"], 4).alias("shard"))
 
 
+def same_domain_next(spark, sf_dir):
+    one = table(spark, sf_dir, "pages").select("page_id", urls.url_struct(F.col("url")).alias("u"))
+    after = one.select((F.col("page_id") - 1).alias("page_id"), F.col("u").alias("v"))
+    return one.join(after, "page_id").select("page_id", urls.same_domain(F.col("u"), F.col("v")).alias("same"))
+
+
+def rabin_fingerprints(spark, sf_dir):
+    rabin = hashing.rabin_udf()
+    return table(spark, sf_dir, "pages").select("page_id", rabin(F.col("html").cast("binary")).alias("fingerprint"))
+
+
+# --- files -------------------------------------------------------------------
+
+
+def page_store(spark, sf_dir):
+    """Pages of even ids are stored, then all; the second time only the others are new."""
+    folder, pages = new_folder(spark, "pages"), table(spark, sf_dir, "pages")
+    stored(writers.write_page_files(pages.where("page_id % 2 = 0"), folder), "page-store")
+    again = stored(writers.write_page_files(pages, folder), "page-store")
+    return readers.page_files(spark, folder).select("doc_id", F.sha2("content", 256).alias("digest")).join(again, "doc_id")
+
+
+def whole_text_pages(spark, sf_dir):
+    folder = new_folder(spark, "pages")
+    stored(writers.write_page_files(table(spark, sf_dir, "pages"), folder), "page-store")
+    return readers.whole_text_files(spark, folder).select("doc_id", F.length("html").alias("n"))
+
+
+def frequency_files(spark, sf_dir):
+    writers.write_term_frequencies(frequencies(spark, sf_dir), folder := new_folder(spark, "frequencies"))
+    return readers.term_frequency_files(spark, folder).select("word", "doc_id", "tf", F.size("positions").alias("n"), joined("positions").alias("positions"))
+
+
+def snippet_files(spark, sf_dir):
+    writers.write_snippets(index.snippets(table(spark, sf_dir, "pages")), folder := new_folder(spark, "snippets"))
+    return spark.read.text(folder)
+
+
+def posting_files(spark, sf_dir):
+    writers.write_posting_lines(posting_lines_pruned(spark, sf_dir), folder := new_folder(spark, "postings"))
+    return readers.posting_files(spark, folder).select("word", "doc_id", "tfidf", joined("positions").alias("positions"))
+
+
+def adjacency_files(spark, sf_dir):
+    writers.write_adjacency(part_edges(spark, sf_dir), folder := new_folder(spark, "graph"))
+    return rank.edges_of(readers.adjacency_files(spark, folder)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def rank_files(spark, sf_dir):
+    writers.write_ranks(rank.pagerank(part_edges(spark, sf_dir), 2), folder := new_folder(spark, "ranks"))
+    return spark.read.parquet(folder).select("id", F.round("rank", 6).alias("rank"))
+
+
+def store_batches(spark, sf_dir):
+    """Customers sent to a store that takes 25 at once and refuses each twentieth: those it refuses."""
+
+    def put(batch):
+        if len(batch) > writers.BATCH:
+            raise ValueError("too many rows at once")
+        return [r for r in batch if r["c_custkey"] % 20 == 0]
+
+    return writers.upsert(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), put)
+
+
+def seed_messages(spark, sf_dir):
+    seeds, sent = new_folder(spark, "seeds"), new_folder(spark, "messages")
+    table(spark, sf_dir, "pages").where("url is not null").select(F.concat(F.lit(" "), "url").alias("value")).write.text(seeds)
+    writers.write_messages(readers.seed_file(spark, seeds), sent, 7)
+    return readers.messages(spark.read.text(sent)).groupBy("url").agg(F.count("*").alias("n"))
+
+
+def header_lines(spark, sf_dir):
+    lines = F.concat(F.lit("Content-Type: "), "event_type", F.lit("\r\nX-User: "), F.col("user_id").cast("string"), F.lit("\r\n\t"), (F.col("event_id") % 7).cast("string"), F.lit("\r\nX-User: b:c\r\nnothing"))
+    rows = table(spark, sf_dir, "events").select("event_id", http.parse_headers(lines).alias("h"))
+    return rows.select("event_id", F.size("h").alias("n"), http.first_value(http.header(F.col("h"), "Content-Type")).alias("kind"), F.array_join(F.col("h")["X-User"], "|").alias("users"))
+
+
 # --- crawl -------------------------------------------------------------------
 
 
@@ -291,6 +399,16 @@ def fetchable(spark, sf_dir):
     return crawl.fetchable(responses(spark, sf_dir)).select("event_id")
 
 
+def fetchable_any(spark, sf_dir):
+    return crawl.fetchable(responses(spark, sf_dir), "reference").select("event_id")
+
+
+def round_robin(spark, sf_dir):
+    wanted = F.when(F.col("event_id") % 5 == 0, "get").otherwise("head")
+    path = F.concat("event_type", (F.col("event_id") % 3).cast("string"))
+    return crawl.schedule(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("domain"), path.alias("path"), wanted.alias("wanted"), F.col("event_id").alias("seq")))
+
+
 def extract_again(spark, sf_dir):
     requested = responses(spark, sf_dir).select(F.col("event_id").cast("string").alias("url"), "status")
     sites = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url"), F.col("user_id").alias("fingerprint"))
@@ -315,7 +433,7 @@ def fetch_readiness(spark, sf_dir):
 
 
 def places(spark) -> tuple[str, str, str]:
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/siftwell/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     return f"{base}/in", f"{base}/out", f"{base}/state"
 
 
@@ -338,13 +456,41 @@ def stream_frontier_dedup(spark, sf_dir):
     return spark.read.schema("domain string, path string, shard int").parquet(out)
 
 
+def done_entries(events):
+    return events.select(F.col("user_id").cast("string").alias("domain"), F.col("event_type").alias("path"), (F.col("value") > 100).alias("done"))
+
+
 def stream_done_state(spark, sf_dir):
     _, out, state = places(spark)
-    events = table_stream(spark, sf_dir, "events")
-    entries = events.select(F.col("user_id").cast("string").alias("domain"), F.col("event_type").alias("path"), (F.col("value") > 100).alias("done"))
-    write = lambda df, batch: df.write.mode("overwrite").parquet(out)
-    streams.done_state(entries).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("domain string, path string, done boolean").parquet(out)
+    streams.keep_done_state(done_entries(table_stream(spark, sf_dir, "events")), out, state)
+    return streams.read_done_state(spark, out)
+
+
+def stream_resume(spark, sf_dir):
+    """Half of the events, a stop, the other half with the same checkpoint; then what is left to do."""
+    inbox, out, state = places(spark)
+    events = table(spark, sf_dir, "events")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(inbox)
+        streams.keep_done_state(done_entries(spark.readStream.schema(events.schema).parquet(inbox)), out, state)
+    return streams.replay(streams.read_done_state(spark, out))
+
+
+def stream_messages(spark, sf_dir):
+    """Messages of even pages, then of the others, two files at a time; each is taken once over both runs."""
+    inbox, out, state = places(spark)
+    pages = table(spark, sf_dir, "pages").where("url is not null")
+    for half in (0, 1):
+        writers.write_messages(pages.where(F.col("page_id") % 2 == half).repartition(4), inbox, 9)
+        streams.run_once(readers.messages(readers.message_stream(spark, inbox, 2)), out, state)
+    return spark.read.schema("url string").parquet(out).groupBy("url").agg(F.count("*").alias("n"))
+
+
+def stream_round_robin(spark, sf_dir):
+    _, out, state = places(spark)
+    queued = table_stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("domain"), F.col("event_type").alias("path"), F.col("event_id").alias("seq"))
+    streams.run_once(streams.queues(queued), out, state)
+    return spark.read.schema("turn int, domain string, path string").parquet(out)
 
 
 def stream_crawl_delay(spark, sf_dir):
@@ -359,12 +505,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         token_positions, term_freq_lines, parse_tf_lines, doc_freq_idf, postings_ref, postings_textbook, posting_lines_pruned, posting_lines_parsed,
         html_text_tokens, page_snippets, description_cut,
-        query_terms, search_tfidf_top500, search_ranked_page, search_ranked_page_2, pagination_links, blended_scores,
-        pagerank_ref_10, pagerank_damped_10, links_extract, links_resolved, inlink_counts, page_link_graph,
-        url_parse, url_canonical, preview_name, url_messages, host_shard,
+        query_terms, search_tfidf_top500, search_ranked_page, search_ranked_page_2, search_header, random_word, pagination_links, blended_scores,
+        pagerank_ref_10, pagerank_damped_10, links_extract, links_resolved, links_reference, inlink_counts, page_link_graph,
+        url_parse, url_canonical, preview_name, url_messages, host_shard, same_domain_next, rabin_fingerprints,
+        page_store, whole_text_pages, frequency_files, snippet_files, posting_files, adjacency_files, rank_files, store_batches, seed_messages, header_lines,
         frontier_whitelist, frontier_unseen, frontier_progress, frontier_routed, latest_per_user, upsert_store, deposit_new, content_dedup, shortest_url,
-        robots_parse, robots_decision, robots_delays, content_filters, fetchable, extract_again, http_dates, fetch_readiness,
-        stream_frontier_dedup, stream_done_state, stream_crawl_delay,
+        robots_parse, robots_decision, robots_delays, content_filters, fetchable, fetchable_any, round_robin, extract_again, http_dates, fetch_readiness,
+        stream_frontier_dedup, stream_done_state, stream_resume, stream_messages, stream_round_robin, stream_crawl_delay,
     ]
     return {f.__name__: f for f in found}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import INDEX_STOPWORDS, QUERY_STOPWORDS
+from ..functions.text import AMPERSAND, ENTITIES, INDEX_STOPWORDS, QUERY_STOPWORDS
 
 
 def quoted(values: list[str]) -> str:
@@ -19,10 +19,16 @@ slots as (
 positions as (select doc_id, word, pos from slots where word <> '' and word not in ({STOP}) and not starts_with(word, 'www'))"""
 DOCS = r"""contents as (
   select doc_id::varchar as doc_id, lower(regexp_replace(regexp_replace(text, '\r\n|\n|\r', '', 'g'), '[^A-Za-z0-9 \t\n\x0B\f\r]', '', 'g')) as contents from documents),"""
-PAGES = r"""contents as (
-  select page_id::varchar as doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\r\n|\n|\r', '', 'g'),
-    '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&[A-Za-z0-9#]+;', ' ', 'g'),
-    '[^A-Za-z0-9 \t\n\x0B\f\r]', '', 'g')) as contents from pages),"""
+def decoded(text: str) -> str:
+    for entity, char in {"&amp;": AMPERSAND, **ENTITIES}.items():
+        text = f"replace({text}, {quoted([entity])}, chr({ord(char)}))"
+    return f"replace(regexp_replace({text}, '&[A-Za-z0-9#]+;', ' ', 'g'), chr({ord(AMPERSAND)}), '&')"
+
+
+VISIBLE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\r\n|\n|\r', '', 'g'),
+    '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"""
+PAGES = rf"""contents as (
+  select page_id::varchar as doc_id, lower(regexp_replace({decoded(VISIBLE)}, '[^A-Za-z0-9 \t\n\x0B\f\r]', '', 'g')) as contents from pages),"""
 FREQ = """,
 counted as (select doc_id, word, count(*) as n, string_agg(pos::varchar, ',' order by pos) as positions from positions group by doc_id, word),
 freq as (select *, 0.4::double + (1 - 0.4::double) * n / max(n) over (partition by doc_id) as tf from counted)"""
@@ -46,8 +52,8 @@ URL = r"""urls as (
 roots as (select *, scheme || '://' || host || case when port = case when scheme = 'https' then 443 else 80 end then '' else ':' || port end as root from urls)"""
 LINKS = URL + r""",
 anchors as (
-  select page_id, unnest(h) as href, unnest(range(0, len(h)))::integer as pos
-  from (select page_id, regexp_extract_all(html, '<a\b[^>]*href=["\x27]([^"\x27]*)', 1) as h from pages)),
+  select page_id, unnest(h) as href, unnest(g) as tag, unnest(range(0, len(h)))::integer as pos
+  from (select page_id, regexp_extract_all(html, '<a\b[^>]*href=["\x27]([^"\x27]*)', 1) as h, regexp_extract_all(html, '<a\b[^>]*href=["\x27][^>]*', 0) as g from pages)),
 joined as (
   select a.page_id, pos, href, case
     when regexp_matches(href, '^https?://') or starts_with(href, '//') then null
@@ -55,6 +61,8 @@ joined as (
     else root || regexp_replace(path, '/[^/]*$', '') || '/' || href end as url
   from anchors a join roots r on a.page_id = r.page_id
   where href <> '' and not starts_with(href, '#') and not regexp_matches(lower(href), '^(javascript|mailto):'))"""
+# The same over a relation of pages whose links may be absolute.
+NEXT = LINKS.replace("from pages", "from linked").replace("when regexp_matches(href, '^https?://') or starts_with(href, '//') then null", "when starts_with(href, '//') then null when regexp_matches(href, '^https?://') then href")
 ENTRIES = URL + ", entries as (select page_id, root || '/' as domain, path from roots)"
 EDGES = "edges as (select 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem union all select 's' || l_suppkey, 'p' || l_partkey from lineitem)"
 
@@ -133,7 +141,28 @@ def twins(query: str, agent: str, bodies: list[str]) -> dict[str, str]:
     description = r"trim(regexp_replace(regexp_extract(regexp_extract(html, '(?is)<meta[^>]*\bname\s*=\s*[\"\x27]description[\"\x27][^>]*>'), '(?is)\bcontent\s*=\s*[\"\x27]([^\"\x27]*)[\"\x27]', 1), '\s+', ' ', 'g'))".replace('\\"', '"')
     title = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
     router = SHARD.format("regexp_extract(domain, '^https?://([^/:]+)', 1)")
+    encoded = "replace(url_encode({0}), '%20', '+')"
+    events = "select user_id::varchar as domain, event_type as path, event_id as seq, * from events"
     return {
+        "search_header": f"{page(query, 'reference', 0).partition('select doc_id, url, round(rank')[0]} select count(*) as n, 'Showing results for \"{query}\"' as header from met",
+        "random_word": f"{from_docs} select min_by(word, sha1('7|' || word)) as word from positions",
+        "links_reference": f"with {LINKS}, kept as (select * from anchors where not regexp_matches(tag, '\\blang\\s*=')), numbered as (select page_id, href, (row_number() over (partition by page_id order by pos) - 1)::integer as pos from kept), told as (select n.page_id, pos, case when regexp_matches(href, '^https?://') then substr(href, 1, 7) || {encoded.format('substr(href, 8)')} when starts_with(href, '//') then scheme || ':' || {encoded.format('href')} when starts_with(href, '/') then root || '/' || {encoded.format('href')} else root || regexp_replace(path, '/[^/]*$', '') || '/' || {encoded.format('href')} end as url from numbered n join roots r on n.page_id = r.page_id where not starts_with(href, '#') and not regexp_matches(lower(href), '^(javascript|mailto):')) select * from told",
+        "same_domain_next": f"with {URL} select a.page_id, a.scheme = b.scheme and a.host = b.host and a.port = b.port as same from urls a join urls b on b.page_id = a.page_id + 1",
+        "page_store": "select page_id::varchar as doc_id, sha256(html) as digest, page_id % 2 <> 0 as new from pages where html <> ''",
+        "whole_text_pages": "select page_id::varchar as doc_id, length(html)::integer as n from pages where html <> ''",
+        "frequency_files": f"{from_docs}{FREQ} select word, doc_id, printf('%.5f', tf)::double as tf, n::integer as n, positions from freq",
+        "snippet_files": f"with s as (select page_id::varchar as doc_id, {description} as d, {title} as title from pages), c as (select doc_id, {cut('d', False)} as description, title from s) select doc_id || ':' || description || chr(9) || title as value from c",
+        "posting_files": f"{posted('reference')}, l as (select word, {lines} as line from postings group by word) select word, doc_id, tfidf, positions from postings where word in (select word from l where length(line) <= 4100)",
+        "adjacency_files": f"with {EDGES} select src, dst, count(*) as n from edges group by src, dst",
+        "rank_files": f"with {pagerank(2, True)} select id, round(rank, 6) as rank from r2",
+        "store_batches": "select c_custkey, c_name from customer where c_custkey % 20 = 0",
+        "seed_messages": "select url, count(*) as n from pages where url is not null group by url",
+        "header_lines": "select event_id, 2 as n, event_type as kind, user_id || ' ' || event_id % 7 || '|b:c' as users from events",
+        "fetchable_any": f"with {RESPONSES} select event_id from checked where markup and fits",
+        "round_robin": f"with e as ({events}), q as (select domain, path || event_id % 3 as path, max(event_id % 5 = 0) as get, min(seq) as seq from e group by 1, 2) select row_number() over (partition by domain order by get desc, seq, path)::integer as turn, domain, path from q",
+        "stream_resume": f"with e as ({events}) select domain, path from e group by all having not max(value > 100)",
+        "stream_messages": "select url, count(*) as n from pages where url is not null group by url",
+        "stream_round_robin": f"with e as ({events}), q as (select domain, path, min(seq) as seq from e group by 1, 2) select row_number() over (partition by domain order by seq, path)::integer as turn, domain, path from q",
         "token_positions": f"{from_docs} select * from positions",
         "term_freq_lines": f"{from_docs}{FREQ} select word || ':' || doc_id || ':' || printf('%.5f', tf) || ':' || positions as value from freq",
         "parse_tf_lines": f"{from_docs}{FREQ} select word, doc_id, printf('%.5f', tf)::double as tf, n::integer as n, positions from freq",
@@ -156,7 +185,7 @@ def twins(query: str, agent: str, bodies: list[str]) -> dict[str, str]:
         "links_extract": f"with {LINKS} select page_id, pos, href from anchors",
         "links_resolved": f"with {LINKS} select page_id, pos, url from joined where url is not null",
         "inlink_counts": f"with {LINKS} select url, count(*) as n from joined where url is not null group by url",
-        "page_link_graph": f"with {LINKS} select j.page_id::varchar as src, r.page_id::varchar as dst from joined j join roots r on j.url = r.root || r.path",
+        "page_link_graph": f"with linked as (select p.page_id, p.url, html || coalesce('<a href=\"' || n.url || '\">', '') as html from pages p left join (select page_id - 1 as page_id, url from pages) n on p.page_id = n.page_id), {NEXT} select j.page_id::varchar as src, r.page_id::varchar as dst from joined j join roots r on j.url = r.root || r.path",
         "url_parse": f"with {URL} select page_id, scheme, host, port, path from urls",
         "url_canonical": f"with {URL} select page_id, root || path as url, root || '/' as domain, root || regexp_replace(path, '/[^/]*$', '') || '/x/y' as appended, root || '/z' as replaced from roots",
         "preview_name": "select page_id, split_part(case when contains(url, 'www.') then substr(url, strpos(url, 'www.') + 4) when contains(url, 'http://') then substr(url, strpos(url, 'http://') + 7) when contains(url, 'https://') then substr(url, strpos(url, 'https://') + 8) else url end, '.', 1) as name from pages",

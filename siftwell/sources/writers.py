@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -31,6 +32,40 @@ def write_index(postings: DataFrame, folder: str) -> None:
     postings.repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id").write.mode("overwrite").parquet(folder)
 
 
+def write_page_files(pages: DataFrame, folder: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Each page as a file named by its fingerprint, unless the store has it; returns (doc_id, new).
+
+    Files go through pyarrow's file systems, under a temporary name until they are complete, so
+    a retried task leaves the same files.
+    """
+    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("content"))
+
+    def write(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base)
+        for pdf in batches:
+            new = []
+            for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
+                path = f"{base}/{doc_id}"
+                new.append(system.get_file_info(path).type == fs.FileType.NotFound)
+                if new[-1]:
+                    temp = f"{base}/.{doc_id}.{uuid.uuid4().hex}"
+                    with system.open_output_stream(temp, compression=None) as out:
+                        out.write(content)
+                    system.move(temp, path)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "new": new})
+
+    return rows.dropDuplicates(["doc_id"]).mapInPandas(write, "doc_id string, new boolean")
+
+
+def write_adjacency(edges: DataFrame, folder: str) -> None:
+    """Lines ``src dst dst`` of (src, dst), parallel links repeated."""
+    edges.groupBy("src").agg(F.collect_list("dst").alias("dsts")).select(F.concat_ws(" ", "src", F.array_join("dsts", " ")).alias("value")).write.mode("overwrite").text(folder)
+
+
 def write_ranks(ranks: DataFrame, folder: str) -> None:
     ranks.write.mode("overwrite").parquet(folder)
 

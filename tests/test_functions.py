@@ -100,3 +100,32 @@ def test_scores(spark):
     assert values(spark, [(1.0,)], text.fixed5(scoring.normalised_tf(F.lit(2), F.lit(3)) + 0 * F.col("x")), "x double") == ["0.80000"]
     got = values(spark, [(2.76884,), (0.0,), (-1.0,), (1.0,)], scoring.rank_weight(F.col("x")), "x double")
     assert got[0] == pytest.approx(0, abs=1e-12) and got[1] == pytest.approx(-0.570324, abs=1e-6) and got[2] == pytest.approx(-0.122823, abs=1e-6) and math.isinf(got[3])
+
+
+def test_rabin_values_are_remainders():
+    """Against long division, for the engine's polynomial and a short one, with empty and absent pages."""
+
+    def remainder(data, polynomial):
+        value, degree = int.from_bytes(data, "big"), polynomial.bit_length() - 1
+        while value.bit_length() > degree:
+            value ^= polynomial << value.bit_length() - 1 - degree
+        return value
+
+    pages = [b"", None, b"a", b"<p>hello</p>" * 5, bytes(range(256)), b"\x00\x00a", b"a"]
+    for polynomial in (hashing.RABIN_POLYNOMIAL, 0x11B):
+        assert hashing.rabin_values(pages, polynomial) == [None if p is None else remainder(p, polynomial) for p in pages]
+    assert hashing.rabin_values([]) == []
+
+
+def test_links_of_either_semantics(spark):
+    base = urls.url_struct(F.lit("http://H.x:8080/a/b?c"))
+    hrefs = ["https://O.y/p q", "//o.y/z", "/r/s", "t", "#f", "MailTo:x", ""]
+    assert values(spark, hrefs, urls.resolve(base, F.col("x"))) == ["https://o.y/p q", "http://o.y/z", "http://h.x:8080/r/s", "http://h.x:8080/a/t", None, None, None]
+    assert values(spark, hrefs, urls.resolve(base, F.col("x"), "reference")) == ["https:/%2FO.y%2Fp+q", "http:%2F%2Fo.y%2Fz", "http://h.x:8080/%2Fr%2Fs", "http://h.x:8080/a/t", None, None, "http://h.x:8080/a/"]
+    html = '<a href="/1">x</a><a lang="en" href="/2"><a href="/3" lang="de">'
+    assert values(spark, [html], urls.hrefs(F.col("x"))) == [["/1", "/2", "/3"]]
+    assert values(spark, [html], urls.hrefs(F.col("x"), "reference")) == [["/1"]]
+
+
+def test_entities(spark):
+    assert values(spark, ["a&amp;b &lt;i&gt; &amp;lt; &copy;&foo;."], text.html_text(F.col("x"))) == ["a&b <i> &lt; © ."]

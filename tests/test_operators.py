@@ -118,3 +118,61 @@ def test_messages_round_trip(spark, tmp_path):
     found = spark.createDataFrame([(f"http://h/{i}?a;b",) for i in range(7)], "url string")
     writers.write_messages(found, str(tmp_path / "q"), 3)
     assert sorted(r.url for r in readers.messages(spark.read.text(str(tmp_path / "q"))).collect()) == sorted(r.url for r in found.collect())
+
+
+def test_search_engine_and_its_caches(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"apple {'pear' if i % 2 else 'plum'} w{i}") for i in range(1, 40)], "doc_id long, text string")
+    rows = index.postings(index.term_frequencies(index.token_positions(docs)), 39)
+    writers.write_index(rows, str(tmp_path / "index"))
+    ranks = spark.range(1, 38).select(F.col("id").alias("fingerprint"), (F.col("id") / 100.0).alias("rank"), F.array(F.concat(F.lit("http://x.y/"), F.col("id").cast("string"))).alias("urls"))
+    writers.write_ranks(ranks, str(tmp_path / "ranks"))
+    engine = search.SearchEngine(spark, str(tmp_path / "index"), str(tmp_path / "ranks"), most=2)
+    want = [tuple(r) for r in search.search(spark, "pear w7", rows, ranks, 0).collect()]
+    assert [tuple(r) for r in engine.page("pear w7").collect()] == want and engine.results.hits == 0
+    assert [tuple(r) for r in engine.page("pear w7").collect()] == want and engine.results.hits == 1
+    assert [tuple(r) for r in engine.page("pear w7", 10).collect()] == [tuple(r) for r in search.search(spark, "pear w7", rows, ranks, 10).collect()]
+    assert engine.header("pear w7") == (19, 'Showing results for "pear w7"') and engine.header("the") == (0, 'No results found for "the"')
+    engine.found("plum")
+    assert engine.postings.hits == 0 and list(engine.postings.held) == ["w7", "plum"]  # of two, the one used longest ago went
+    engine.found("w7 plum apple")
+    assert engine.postings.hits == 2 and len(engine.ranks.held) == 2
+
+
+def test_random_term(spark, postings):
+    words = {search.random_term(postings, seed).first().word for seed in range(12)}
+    assert len(words) > 1 and words <= {"b", "c", "d", "x"} and search.random_term(postings, 3).first() == search.random_term(postings, 3).first()
+    assert search.random_term(postings.limit(0), 1).count() == 0
+
+
+def test_page_store_is_idempotent(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "<p>a"), (2, None), (None, "x"), (1, "<p>a")], "page_id long, html string")
+    folder = f"file://{tmp_path}/store"
+    assert sorted(map(tuple, writers.write_page_files(pages, folder).collect())) == [("1", True), ("2", True)]
+    assert sorted(map(tuple, writers.write_page_files(pages, folder).collect())) == [("1", False), ("2", False)]
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == ["1", "2"]
+
+
+def test_schedule(spark):
+    queued = spark.createDataFrame([("a", "/1", "head", 1), ("a", "/2", "get", 5), ("a", "/3", "head", 2), ("a", "/1", "head", 9), ("b", "/1", "head", 3)], "domain string, path string, wanted string, seq long")
+    assert [tuple(r) for r in crawl.schedule(queued).orderBy("turn", "domain").collect()] == [(1, "a", "/2"), (1, "b", "/1"), (2, "a", "/1"), (3, "a", "/3")]
+
+
+def test_fetchable_semantics(spark):
+    rows = spark.createDataFrame([(1, "text/html", {}, 5, 200), (2, "text/html", {}, 5, 404), (3, "image/png", {}, 5, 200)], "id int, content_type string, headers map<string,array<string>>, content_length long, status int")
+    assert [r.id for r in crawl.fetchable(rows).collect()] == [1] and [r.id for r in crawl.fetchable(rows, "reference").orderBy("id").collect()] == [1, 2]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from siftwell.__main__ import main
+
+    spark.createDataFrame([(1, "apple pear"), (2, "apple")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    (tmp_path / "graph").mkdir()
+    (tmp_path / "graph/g.txt").write_text("1 2\n2 1\n")
+    assert main(["index", str(tmp_path / "docs"), str(tmp_path / "index")]) == 0 and main(["lines", str(tmp_path / "docs"), str(tmp_path / "lines")]) == 0
+    assert main(["rank", str(tmp_path / "graph"), str(tmp_path / "ranks")]) == 0
+    assert {r.word for r in spark.read.parquet(str(tmp_path / "index")).collect()} == {"apple", "pear"}
+    assert readers.posting_files(spark, str(tmp_path / "lines")).count() == 3
+    ranks = spark.read.parquet(str(tmp_path / "ranks")).select(F.col("id").cast("long").alias("fingerprint"), "rank", F.array(F.lit("http://www.a.b/")).alias("urls"))
+    ranks.write.parquet(str(tmp_path / "items"))
+    assert main(["search", str(tmp_path / "index"), str(tmp_path / "items"), "pear"]) == 0 and "http://www.a.b/" in capsys.readouterr().out
+    assert main([]) == 2

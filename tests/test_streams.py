@@ -22,3 +22,27 @@ def test_replay_and_progress(spark):
     state = spark.createDataFrame([("d", "/1", True), ("d", "/2", False)], "domain string, path string, done boolean")
     assert [(r.domain, r.path) for r in frontier.replay(state).collect()] == [("d", "/2")]
     assert tuple(crawl.progress(state).first()) == ("d", 1, 1)
+
+
+def test_done_state_goes_on_after_a_stop(spark, tmp_path):
+    inbox, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "domain string, path string, done boolean"
+    assert frontier.read_done_state(spark, out).count() == 0
+    for rows in ([("d", "/1", False), ("d", "/2", True)], [("d", "/1", True), ("d", "/2", False), ("d", "/3", False)], [("e", "/1", False)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        frontier.keep_done_state(spark.readStream.schema(schema).parquet(inbox), out, state)
+    rows = frontier.read_done_state(spark, out)
+    assert sorted(map(tuple, rows.collect())) == [("d", "/1", True), ("d", "/2", True), ("d", "/3", False), ("e", "/1", False)]
+    assert sorted(map(tuple, frontier.replay(rows).collect())) == [("d", "/3"), ("e", "/1")]
+    assert len(frontier.versions(spark, out)) == 2  # the newest and the one before it
+    (tmp_path / "out" / f"v={frontier.last_version(spark, out)}" / "_SUCCESS").unlink()
+    assert frontier.read_done_state(spark, out).count() == 3  # a version that is cut short doesn't count
+
+
+def test_queues_take_turns_over_two_runs(spark, tmp_path):
+    inbox, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "domain string, path string, seq long"
+    for rows in ([("a", "/2", 2), ("a", "/1", 1), ("b", "/1", 3)], [("a", "/1", 4), ("a", "/3", 5), ("b", "/2", 6)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        frontier.run_once(frontier.queues(spark.readStream.schema(schema).parquet(inbox)), out, state)
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(1, "a", "/1"), (1, "b", "/1"), (2, "a", "/2"), (2, "b", "/2"), (3, "a", "/3")]
