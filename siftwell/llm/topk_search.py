@@ -1,15 +1,17 @@
 """Exact top-k search by block-at-a-time pruning.
 
-Vectors become integers, floor(256 * x) for each component.  Runs of consecutive ids form
-blocks (the forward index: ids and an integer matrix) with the largest and smallest value
-of each component (term), and ``blocks_per_group`` blocks are one row of the index table,
-in shared storage.  A query's bound for a block is the sum over its terms of q * largest
-(q * smallest for negative q), so no vector of the block scores more.  Per query, blocks are
-taken in descending order of their bounds; each is scored through its forward index, until
-the next bound falls below the query's k-th score.  Groups meet chunks of queries by an
-equi-join on a salt, and a group's k best for each query are merged in a last step.
-
-All queries meet all groups: that is the task, a stated set of queries against all rows.
+Vectors become integers, floor(256 * x) for each component.  They are sorted by id over
+slices of the index, by rank, so ids may lie as far apart as they like.  In a slice, runs of
+consecutive ids form blocks (the forward index: ids and an integer matrix) with the largest
+and smallest value of each component (term); ``blocks_per_group`` blocks are one row of the
+index table, in shared storage.  A query's bound for a block is the sum over its terms of
+q * largest (q * smallest for negative q), so no vector of the block scores more.  A task has
+a slice, of ``slice_values`` numbers at most as planned, and a stretch of queries.  Per query
+it takes all blocks of the slice in descending order of their bounds; each is scored through
+its forward index, until the next bound falls below the query's k-th score in the slice.  The
+k best of each slice are merged in a last step.
+
+All queries meet all slices: that is the task, a stated set of queries against all rows.
 
 Defined results
 - Vectors that are null, or hold a null, NaN, infinity, or a value whose integer is no
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +66,13 @@ def product(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
     return a.astype(object) @ b.astype(object).T
 
 
-def best_of_group(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, top: np.ndarray, low: np.ndarray, block_rows: int, k: int):
-    """(query row, score, id) of each query's k best in a group, and how many blocks were scored."""
+def best_of_group(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, top: np.ndarray, low: np.ndarray, block_rows: int, k: int, cuts: np.ndarray | None = None):
+    """(query row, score, id) of each query's k best, and how many blocks were scored.
+
+    Block b is rows cuts[b] to cuts[b + 1]; without ``cuts`` blocks are of ``block_rows`` rows.
+    """
+    if cuts is None:
+        cuts = np.minimum(np.arange(len(top) + 1) * block_rows, len(ids))
     n, blocks = len(qid), len(top)
     bound = float(np.abs(q).max(initial=1)) * float(np.abs(m).max(initial=1)) * max(1, m.shape[1])
     limits = product(np.maximum(q, 0), top, bound) + product(np.minimum(q, 0), low, bound)
@@ -83,7 +91,7 @@ def best_of_group(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray
         chosen = order[rows, turn]
         for b in np.unique(chosen):
             own = rows[chosen == b]
-            part = slice(b * block_rows, (b + 1) * block_rows)
+            part = slice(cuts[b], cuts[b + 1])
             s = product(q[own], m[part], bound)
             s[qid[own][:, None] == ids[part][None, :]] = worst
             if s.dtype == object:
@@ -104,45 +112,62 @@ def best_of_group(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray
     return at, score[at, place], who[at, place], scored
 
 
-def build_index(vectors: DataFrame, block_rows: int = 128, blocks_per_group: int = 64) -> DataFrame:
-    """The index table (dim, grp, ids, m, top, low); one row holds a group of blocks."""
-    per_group = block_rows * blocks_per_group
-
-    def group(key, pdf):
-        # A group of repeated ids can be larger than planned: it is cut into rows of the planned size.
-        pdf = pdf.sort_values("vec_id", kind="stable")
-        parts = [pdf[i : i + per_group] for i in range(0, len(pdf), per_group)]
-        return pd.DataFrame([(int(key[0]), int(key[1]), *matrix_rows(p, block_rows)) for p in parts], columns=["dim", "grp", "ids", "m", "top", "low"])
-
-    grouped = vectors.withColumn("grp", F.floor(F.col("vec_id") / per_group)).groupBy("dim", "grp")
-    return grouped.applyInPandas(group, "dim int, grp long, ids binary, m binary, top binary, low binary")
+def packed_runs(vectors: DataFrame, n: int, rows: int, block_rows: int) -> DataFrame:
+    """(dim, slice, ids, m, top, low): vectors in ``n`` slices by rank of (dim, id), a row for each run of ``rows`` vectors of one length."""
 
-
-def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, block_rows: int = 128, blocks_per_group: int = 64, chunk: int = 1024) -> DataFrame:
+    def cut(batches):
+        context = TaskContext.get()
+        own = context.partitionId() if context else 0
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf])
+            dims = held["dim"].to_numpy()
+            ends = [*(np.flatnonzero(dims[1:] != dims[:-1]) + 1), len(dims)]
+            start = 0
+            for end in ends:
+                while start < end and (end - start >= rows or end < len(dims)):
+                    yield frame(own, held[start : min(end, start + rows)])
+                    start = min(end, start + rows)
+            held = held[start:]
+        if held is not None and len(held):
+            yield frame(own, held)
+
+    def frame(own, pdf):
+        return pd.DataFrame([(int(pdf["dim"].iloc[0]), own, *matrix_rows(pdf, block_rows))], columns=["dim", "slice", "ids", "m", "top", "low"])
+
+    ordered = vectors.repartitionByRange(n, "dim", "vec_id").sortWithinPartitions("dim", "vec_id")
+    return ordered.select("dim", "vec_id", "v").mapInPandas(cut, "dim int, slice int, ids binary, m binary, top binary, low binary")
+
+
+def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, block_rows: int = 128, blocks_per_group: int = 64, chunk: int = 1024, slice_values: int = 1 << 22) -> DataFrame:
     """Queries: ids divisible by ``every``.  Returns query_id, rank, vec_id, score."""
     spark = rows.sparkSession
-    vectors = integers(rows, id_col, vector_col)
-    index = stored(build_index(vectors, block_rows, blocks_per_group), "topk-index")
+    vectors = stored(integers(rows, id_col, vector_col), "topk-vectors")
     asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    asked = asked.withColumn("chunk", F.floor(F.col("vec_id") / (every * chunk)))
-    chunks = asked.groupBy("dim", "chunk").applyInPandas(
-        lambda key, pdf: pd.DataFrame([(int(key[0]), int(key[1]), *matrix_rows(pdf)[:2])], columns=["dim", "chunk", "qids", "q"]),
-        "dim int, chunk long, qids binary, q binary",
-    )
-    salts = shuffle_width(spark)
-    chunks = stored(chunks, "topk-queries").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    pairs = index.withColumn("salt", F.pmod(F.col("grp"), F.lit(salts)).cast("int")).join(chunks, ["dim", "salt"])
-
-    def search(batches):
-        for pdf in batches:
-            for dim, qids, q, ids, m, top, low in zip(pdf["dim"], pdf["qids"], pdf["q"], pdf["ids"], pdf["m"], pdf["top"], pdf["low"]):
-                qid, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                q, m = np.frombuffer(q, np.int64).reshape(len(qid), dim), np.frombuffer(m, np.int64).reshape(len(ids), dim)
-                blocks = -(-len(ids) // block_rows)
-                top, low = np.frombuffer(top, np.int64).reshape(blocks, dim), np.frombuffer(low, np.int64).reshape(blocks, dim)
-                at, score, who, _ = best_of_group(qid, q, ids, m, top, low, block_rows, k)
-                yield pd.DataFrame({"query_id": qid[at], "vec_id": who, "score": score})
-
-    found = pairs.select("dim", "qids", "q", "ids", "m", "top", "low").mapInPandas(search, "query_id long, vec_id long, score long")
+    values, questions = vectors.agg(F.sum("dim"), F.sum(F.when(F.pmod("vec_id", F.lit(every)) == 0, F.col("dim")))).first()
+    slices, stretches = max(shuffle_width(spark), -(-(values or 0) // slice_values)), max(1, -(-(questions or 0) // slice_values))
+    index = stored(packed_runs(vectors, slices, block_rows * blocks_per_group, block_rows), "topk-index")
+    # A stretch of queries meets each slice, and a slice each stretch: both sides are repeated as often as the other has parts.
+    queries = packed_runs(asked, stretches, chunk, chunk).select("dim", F.col("slice").alias("stretch"), "ids", "m")
+    queries = stored(queries, "topk-queries").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    index = index.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.lit(stretches - 1))))
+
+    def search(key, blocks, asked):
+        dim = int(key[0])
+        matrix = lambda data: np.frombuffer(data, np.int64).reshape(-1, dim)
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
+        if len(blocks) and len(asked):
+            ids, m = np.concatenate([np.frombuffer(x, np.int64) for x in blocks["ids"]]), np.concatenate([matrix(x) if dim else np.zeros((len(i) // 8, 0), np.int64) for x, i in zip(blocks["m"], blocks["ids"])])
+            sizes = [min(block_rows, n - i) for n in (len(x) // 8 for x in blocks["ids"]) for i in range(0, n, block_rows)]
+            top, low = (np.concatenate([matrix(x) for x in blocks[c]]) if dim else np.zeros((len(sizes), 0), np.int64) for c in ("top", "low"))
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            for qids, q in zip(asked["ids"], asked["m"]):
+                qid = np.frombuffer(qids, np.int64)
+                at, score, who, _ = best_of_group(qid, matrix(q) if dim else np.zeros((len(qid), 0), np.int64), ids, m, top, low, block_rows, k, cuts)
+                out.append(pd.DataFrame({"query_id": qid[at], "vec_id": who, "score": score}))
+        return pd.concat(out)
+
+    on = ["dim", "slice", "stretch"]
+    found = index.groupBy(*on).cogroup(queries.groupBy(*on)).applyInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
