@@ -4,16 +4,19 @@ Writing
 1. Payload digests (SHA-1) and sizes are gathered for all pages.  Of pages with equal
    payloads of at least ``least_revisit`` bytes the one with the largest id is a response
    and the others revisit it; smaller payloads are responses all.
-2. Shards are ranges of ids.  Their edges come from a histogram of payload bytes over at
-   most 4,096 bins of the id range, so they depend on the pages alone, not on partitions,
-   and the driver holds 4,096 rows at most.
-3. Pages and verdicts are shuffled once by shard and sorted by id; a task writes each of its
-   shards as a run of files, rolled when their compressed size passes ``roll_bytes``.  Each
+2. Shards are ranges of ids.  Ids and sizes, without payloads, are sorted over all partitions
+   and added up; a new shard begins with the id that passes the next multiple of
+   ``shard_bytes``.  So edges depend on the pages alone, not on partitions, a shard is larger
+   than planned by one id's payloads at most, and the driver holds one id for each shard
+   (choose ``shard_bytes`` for some 100,000 shards at most: 1 GB for 100 TB).
+3. Pages and verdicts are shuffled once, each shard to a task of its own, and sorted by id; the
+   task writes a run of files, rolled when their compressed size passes ``roll_bytes``.  Each
    record is a gzip member of its own; headers, block and payload digests are regenerated.
 4. A file gets a temporary name of its attempt and is renamed when complete; its content is
    the same in every attempt, so retries and speculative copies do no harm.  The manifest of
    final files is written by Spark's own committer, last of all; readers follow the manifest
-   only, so files of failed jobs are never read.
+   only, so files of failed jobs are never read.  Temporary files that lost attempts have
+   left are deleted then.
 
 Files go through pyarrow's file systems by the folder's URI, so executors need no common
 local disk but the folder itself.
@@ -35,7 +38,7 @@ import uuid
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, power_of, shuffle_width, stored
@@ -45,7 +48,6 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 NO_URL = "urn:x-no-url"
-BINS = 4096
 MANIFEST = "_manifest"
 
 
@@ -121,6 +123,22 @@ class ShardFiles:
             self.out = None
 
 
+def shard_edges(meta: DataFrame, shard_bytes: int, partitions: int) -> list[int]:
+    """The ids at which a new shard begins, ascending, from (page_id, n_bytes)."""
+    by_id = meta.where("page_id is not null").groupBy("page_id").agg(F.sum(F.col("n_bytes") + 512).alias("size"))
+    ordered = stored(by_id.repartitionByRange(partitions, "page_id").select(F.spark_partition_id().alias("p"), "page_id", "size"), "warc-sizes")
+    before, sums = 0, []
+    for p, size in ordered.groupBy("p").agg(F.sum("size")).orderBy("p").collect():
+        sums.append((p, before))
+        before += size
+    if before <= shard_bytes:
+        return []
+    offset = meta.sparkSession.createDataFrame(sums, "p int, offset long")
+    within = Window.partitionBy("p").orderBy("page_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = ordered.join(F.broadcast(offset), "p").select("page_id", F.floor((F.col("offset") + F.sum("size").over(within) - F.col("size")) / shard_bytes).alias("shard"))
+    return sorted(r[0] for r in reached.groupBy("shard").agg(F.min("page_id").alias("first")).where("shard > 0").select("first").collect())
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 0, shard_bytes: int = 8 << 20, roll_bytes: int = 2 << 20) -> DataFrame:
     """Write ``pages`` under ``folder``; returns the manifest (shard, file, n_records, n_bytes, sha256)."""
     spark = pages.sparkSession
@@ -136,24 +154,19 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     spread = by_run.select("run", "sha1", "n_bytes").join(groups.drop("n"), ["sha1", "n_bytes"])
     verdicts = meta.join(spread, ["run", "sha1", "n_bytes"]).select("page_id", "sha1", "refers_to").distinct()
 
-    low, high = meta.agg(F.min("page_id"), F.max("page_id")).first()
-    edges: list[int] = []
-    if low is not None:
-        width = (high - low) // BINS + 1
-        filled = 0
-        for b, size in meta.groupBy(F.floor((F.col("page_id") - low) / width).alias("b")).agg(F.sum(F.col("n_bytes") + 512)).where("b is not null").orderBy("b").collect():
-            if filled and filled + size > shard_bytes:
-                edges.append(low + b * width)
-                filled = 0
-            filled += size
-    # The shard of an id: how many edges are at or below it.
-    shard = F.aggregate(F.array(*[F.lit(e) for e in edges]).cast("array<bigint>"), F.lit(0), lambda n, e: n + F.when(e <= F.col("page_id"), 1).otherwise(0)) if edges else F.lit(0)
+    edges = shard_edges(meta, shard_bytes, max(1, shuffle_width(spark)))
+    # The shard of an id is the number of edges at or below it, found by halving.
+    shard = F.lit(0)
+    if edges:
+        table, steps = F.array(*[F.lit(e) for e in edges]).cast("array<bigint>"), [1 << k for k in reversed(range(len(edges).bit_length()))]
+        reached = lambda n, step: F.get(table, n + step - 1) <= F.col("page_id")  # noqa: E731  null past the end
+        shard = F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda n, step: F.when(reached(n, step), n + step).otherwise(n))
     shard = F.coalesce(shard, F.lit(0)).cast("int")
     both = (
         rows.withColumn("sha1", F.lit(None).cast("string")).withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1))
         .unionByName(verdicts.withColumn("url", F.lit(None).cast("string")).withColumn("payload", F.lit(None).cast("binary")).withColumn("kind", F.lit(0)))
         .withColumn("shard", shard)
-        .repartition(len(edges) + 1, "shard")
+        .repartitionById(len(edges) + 1, F.col("shard"))
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", F.xxhash64("payload"), "payload", "url")
     )
 
@@ -184,7 +197,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
     done = both.select("shard", "page_id", "url", "payload", "sha1", "refers_to", "kind").mapInPandas(write, "shard int, file string, n_records long, n_bytes long, sha256 string")
-    return stored(done, "warc-manifest", f"{folder}/{MANIFEST}")
+    manifest = stored(done, "warc-manifest", f"{folder}/{MANIFEST}")
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for left in system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/.part-*.tmp")) or []:
+        system.delete(left.getPath(), False)
+    return manifest
 
 
 def records(stream):
