@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,14 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a folder of this machine is made and set as checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the master is
+    local (tests) a folder of this machine is made and set as checkpoint folder.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="siftwell-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -87,3 +91,18 @@ def heaviest(bins: DataFrame, most: int) -> int:
             break
         least = b
     return least
+
+
+def each_part(rows: DataFrame, parts: int, run: Callable, schema: str) -> DataFrame:
+    """``run`` (part, pandas frame) on all rows of each part (column ``part``, 0 to parts - 1), each a task of its own.
+
+    A group-by would hash the few part numbers, and give one task several parts and another none.
+    """
+
+    def whole(batches):
+        held = [b for b in batches if len(b)]
+        if held:
+            pdf = pd.concat(held, ignore_index=True)
+            yield run(int(pdf["part"].iloc[0]), pdf)
+
+    return rows.repartitionById(parts, F.col("part")).mapInPandas(whole, schema)

@@ -15,15 +15,21 @@ than all the rest; keys, joins and sums are those of the plain form.
    1 MB, broadcast.  It also takes the hottest keys out of all later shuffles.
 2. Exploded bigrams, counted once for each text, go to the part of their second word's hash,
    or of the whole bigram's hash if that word is hot.  So c(v w) adds up in one part, and
-   c(w) is either hot or adds up in the same part.  A part returns a sum for each text.
+   c(w) is either hot or adds up in the same part.  A part returns a sum for each text that
+   has entries there.
 3. Where c(v) is needed and v is not hot, (v, text, n) goes on to v's part of the unigram
    table, which returns a further sum.
 4. Sums come together by piece.
 
-A key that a third of all texts hold is one entry for each text, eight bytes at most.
+A bigram that ``COMMON`` texts of a piece hold is added up before it is sent: it travels as if
+it were one more text of the piece, with its number of places, and its texts and their
+numbers stay behind with the piece, which deals the sum out.  So a key that all texts hold is
+one entry for each piece.  Parts are as many as keep ``part_words`` words each, and each is
+a task of its own.
 
 Defined results
-- null, empty or blank text: 0 words, score 0.
+- null, empty or blank text: 0 words, score 0, per_word 0.
+- per_word is the score divided by the number of words, by which texts of any length compare.
 - Rows that repeat are separate texts, each counted.  One row for each row of the input,
   null ids included; other columns are ignored; an empty table gives an empty result.
 """
@@ -38,11 +44,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heaviest, shuffle_width, stored
-from .tokens import mix, slices, word_hashes
+from .common import each_part, heaviest, shuffle_width, stored
+from .tokens import compact, mix, restored, slices, word_hashes
 
 START = np.uint64(0x5354415254)  # the word before a text's first
 HOT, COLD = 65_000, 65_535  # codes below HOT are hot words; HOT itself is START
+COMMON = 8
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -85,13 +92,13 @@ def unigrams(docs: DataFrame, parts: int) -> DataFrame:
         if size:
             yield flush()
 
-    def add(key, pdf):
+    def add(part, pdf):
         words, which = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["words"]]), return_inverse=True)
         n = np.bincount(which, weights=np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]])).astype(np.int64)
-        return pd.DataFrame([(int(key[0]), words.tobytes(), n.tobytes())], columns=["part", "words", "counts"])
+        return pd.DataFrame([(part, words.tobytes(), n.tobytes())], columns=["part", "words", "counts"])
 
     packed = "part int, words binary, counts binary"
-    return stored(docs.select("text").mapInArrow(count, packed).groupBy("part").applyInPandas(add, packed), "lm-unigrams")
+    return stored(each_part(docs.select("text").mapInArrow(count, packed), parts, add, packed), "lm-unigrams")
 
 
 def hot_words(table: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -123,13 +130,14 @@ def hot_words(table: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, int,
     return words[order], n[order], everything, texts
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, alpha: float = 0.4, hot: int = HOT) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, score (sum of ln S)."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, alpha: float = 0.4, hot: int = HOT, part_words: int = 1 << 24) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_words, score (sum of ln S), per_word."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = max(16, 3 * shuffle_width(spark) // 2)
-    table = unigrams(rows, parts)
+    word_parts = max(16, 3 * shuffle_width(spark) // 2)
+    table = unigrams(rows, word_parts)
     known, known_n, n_all, n_texts = hot_words(table, min(hot, HOT))
+    parts = max(word_parts, int(n_all) // part_words)
     sent = spark.sparkContext.broadcast((known, known_n))
 
     def codes(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -145,7 +153,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = "kind int, part int, piece binary, ids binary, sizes binary, first binary, second binary, more binary, number binary"
 
     def explode(batches):
-        """Kind 0: the texts of a piece; kind 1: its bigrams of a part, texts as run lengths in ``sizes``."""
+        """Kind 0: the texts of a piece, and which of them hold its common bigrams; kind 1: its bigrams of a part, ``sizes`` their texts."""
         known, _ = sent.value
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -155,7 +163,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 valid = np.asarray(ids.is_valid(), dtype=bool) if len(ids) else np.zeros(0, bool)
                 plain = np.asarray(ids.fill_null(0), dtype=np.int64)
                 piece = hashlib.blake2b(plain.tobytes() + valid.tobytes() + first.astype(np.int64).tobytes() + words.tobytes(), digest_size=16).digest()
-                out = [(0, None, piece, plain.tobytes(), n.astype(np.int64).tobytes(), valid.tobytes(), None, None, None)]
+                held, out = [b"", b""], []
                 if len(words):
                     before = np.concatenate([[START], words[:-1]])
                     starts = first[:-1][n > 0]
@@ -169,6 +177,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         number.append(times)
                         text.append(np.full(len(one), i))
                     at, number, text = np.concatenate(at), np.concatenate(number), np.concatenate(text)
+                    # Common bigrams: each a further text of the piece, dealt out again by ``gather``.
+                    order = np.argsort(key[at], kind="stable")
+                    start = np.flatnonzero(np.concatenate([[True], key[at[order[1:]]] != key[at[order[:-1]]]]))
+                    texts = np.diff(start, append=len(order))
+                    common = np.flatnonzero(texts >= COMMON)
+                    rank = np.repeat(np.where(texts >= COMMON, np.cumsum(texts >= COMMON) - 1, -1), texts)
+                    mine, rank = order[rank >= 0], rank[rank >= 0]
+                    total = np.bincount(rank, weights=number[mine], minlength=len(common)).astype(np.int64)
+                    held = [np.concatenate([total, texts[common]]).tobytes(), text[mine].astype(np.uint32).tobytes() + number[mine].astype(np.uint32).tobytes()]
+                    rare = np.ones(len(at), bool)
+                    rare[mine] = False
+                    at, number, text = np.concatenate([at[rare], at[order[start[common]]]]), np.concatenate([number[rare], total]), np.concatenate([text[rare], len(n) + np.arange(len(common))])
                     v, w = before[at], words[at]
                     vc, wc = codes(v, known), codes(w, known)
                     vc[v == START] = HOT
@@ -177,19 +197,24 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         a, b, m = vc[own], wc[own], number[own]
                         many = np.flatnonzero(m > 1)
                         out.append((
-                            1, k, piece, None, np.bincount(text[own], minlength=len(n)).astype(np.uint32).tobytes(), a.tobytes(), b.tobytes(),
+                            1, k, piece, None, compact(text[own]), a.tobytes(), b.tobytes(),
                             v[own][a == COLD].tobytes() + w[own][b == COLD].tobytes(), np.concatenate([many, m[many]]).astype(np.uint32).tobytes(),
                         ))
+                out.append((0, None, piece, plain.tobytes(), n.astype(np.int64).tobytes(), valid.tobytes(), held[0], held[1], None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
 
-    exploded = stored(rows.mapInArrow(explode, packed), "lm-bigrams")
+    exploded = stored(rows.mapInArrow(explode, packed), "lm-bigrams", by=["kind"]).select(*columns)
 
-    def bigrams(key, pdf):
+    def sums(piece: bytes, text: np.ndarray, gain: np.ndarray) -> tuple:
+        """A row of kind 2: sums of ``gain`` by text of a piece, for the texts that occur."""
+        start = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        return (2, None, piece, np.add.reduceat(gain, start).tobytes(), compact(text[start]), None, None, None, None)
+
+    def bigrams(part, pdf):
         """Of a part: kind 2: sums by text of a piece; kind 3: (v, text, n) whose c(v) is still to be known."""
         known, known_n = sent.value
         v, w, n, text, size = [], [], [], [], []
-        for sizes, first, second, more, number in zip(pdf["sizes"], pdf["first"], pdf["second"], pdf["more"], pdf["number"]):
-            sizes = np.frombuffer(sizes, np.uint32)
+        for places, first, second, more, number in zip(pdf["sizes"], pdf["first"], pdf["second"], pdf["more"], pdf["number"]):
             a, b, rest = np.frombuffer(first, np.uint16), np.frombuffer(second, np.uint16), np.frombuffer(more, np.uint64)
             many = np.frombuffer(number, np.uint32).reshape(2, -1)
             m = np.ones(len(a), dtype=np.int64)
@@ -197,8 +222,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             x, y = np.empty(len(a), np.uint64), np.empty(len(b), np.uint64)
             x[a < HOT], x[a == HOT], x[a == COLD] = known[a[a < HOT]], START, rest[: (a == COLD).sum()]
             y[b != COLD], y[b == COLD] = known[b[b != COLD]], rest[(a == COLD).sum() :]
-            v.append(x), w.append(y), n.append(m), size.append(len(sizes))
-            text.append(np.repeat(np.arange(len(sizes)), sizes) + sum(size[:-1]))
+            v.append(x), w.append(y), n.append(m), size.append(len(a)), text.append(restored(places, len(a)))
         v, w, n, text = (np.concatenate(x) for x in (v, w, n, text))
 
         def lookup(words: np.ndarray) -> np.ndarray:
@@ -215,52 +239,54 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             own[cold] = np.bincount(which, weights=n[cold])[which]
         above = np.where(v == START, n_texts, lookup(v))
         with np.errstate(divide="ignore"):
-            gain = np.where(seen, np.log(both) - np.where(above > 0, np.log(np.maximum(above, 1)), 0.0), np.log(alpha) + np.log(own) - np.log(max(1, n_all)))
-        total = np.bincount(text, weights=gain * n, minlength=sum(size))
+            gain = n * np.where(seen, np.log(both) - np.where(above > 0, np.log(np.maximum(above, 1)), 0.0), np.log(alpha) + np.log(own) - np.log(max(1, n_all)))
         ends = np.cumsum(size)
-        out = [(2, None, p, total[e - s : e].tobytes(), None, None, None, None, None) for p, s, e in zip(pdf["piece"], size, ends)]
+        out = [sums(p, text[e - s : e], gain[e - s : e]) for p, s, e in zip(pdf["piece"], size, ends)]
         open_ = np.flatnonzero(seen & (above == 0))
         if len(open_):
-            piece = np.searchsorted(ends, text[open_], "right")
-            names = b"".join(pdf["piece"])
-            for k, at in by_part(part_of(v[open_], parts), parts):
-                used, which = np.unique(piece[at], return_inverse=True)
-                local = text[open_][at] - (ends - size)[piece[at]]
-                out.append((3, k, None, b"".join(names[16 * i : 16 * i + 16] for i in used), np.array([size[i] for i in used], np.uint32).tobytes(), v[open_][at].tobytes(), local.astype(np.uint32).tobytes(), which.astype(np.uint32).tobytes(), n[open_][at].astype(np.uint32).tobytes()))
+            piece = np.searchsorted(ends, open_, "right")
+            names = list(pdf["piece"])
+            for k, at in by_part(part_of(v[open_], word_parts), word_parts):
+                used, count = np.unique(piece[at], return_counts=True)  # entries stay in the order of pieces, then texts
+                mine = open_[at]
+                places = b"".join(text[mine[e - c : e]].astype(np.uint32).tobytes() for c, e in zip(count, np.cumsum(count)))
+                out.append((3, k, None, b"".join(names[i] for i in used), count.astype(np.uint32).tobytes(), v[mine].tobytes(), places, None, n[mine].astype(np.uint32).tobytes()))
         return pd.DataFrame(out, columns=columns)
 
-    summed = stored(exploded.where("kind = 1").groupBy("part").applyInPandas(bigrams, packed), "lm-sums")
+    summed = stored(each_part(exploded.where("kind = 1"), parts, bigrams, packed), "lm-sums", by=["kind"]).select(*columns)
 
-    def contexts(key, pdf):
+    def contexts(part, pdf):
         """Of a part of the unigram table: sums of -n ln c(v) by text of a piece."""
-        mine = pdf[pdf["kind"] == 9]
-        asked = pdf[pdf["kind"] == 3]
-        words, counts = np.frombuffer(mine["first"].iloc[0], np.uint64), np.frombuffer(mine["second"].iloc[0], np.int64)
-        found: dict[bytes, np.ndarray] = {}
-        for ids, sizes, v, local, which, n in zip(asked["ids"], asked["sizes"], asked["first"], asked["second"], asked["more"], asked["number"]):
-            v, sizes = np.frombuffer(v, np.uint64), np.frombuffer(sizes, np.uint32)
-            loss = -np.log(counts[np.searchsorted(words, v)]) * np.frombuffer(n, np.uint32)
-            local, which = np.frombuffer(local, np.uint32), np.frombuffer(which, np.uint32)
-            for i in range(len(sizes)):
-                own = which == i
-                piece = ids[16 * i : 16 * i + 16]
-                add = np.bincount(local[own], weights=loss[own], minlength=sizes[i])
-                found[piece] = found[piece] + add if piece in found else add
-        return pd.DataFrame([(2, None, p, x.tobytes(), None, None, None, None, None) for p, x in found.items()], columns=columns)
+        table, asked = pdf[pdf["kind"] == 9], pdf[pdf["kind"] == 3]
+        out = []
+        if len(asked):
+            words, counts = np.frombuffer(table["first"].iloc[0], np.uint64), np.frombuffer(table["second"].iloc[0], np.int64)
+            for names, sizes, v, places, n in zip(asked["ids"], asked["sizes"], asked["first"], asked["second"], asked["number"]):
+                ends = np.cumsum(np.frombuffer(sizes, np.uint32))
+                loss = -np.log(counts[np.searchsorted(words, np.frombuffer(v, np.uint64))]) * np.frombuffer(n, np.uint32)
+                places = np.frombuffer(places, np.uint32)
+                out += [sums(names[16 * i : 16 * i + 16], places[a:b], loss[a:b]) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends))]
+        return pd.DataFrame(out, columns=columns)
 
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("more", "number")]
     lookup = table.select(F.lit(9).alias("kind"), "part", *[F.lit(None).cast("binary").alias(c) for c in ("piece", "ids", "sizes")], F.col("words").alias("first"), F.col("counts").alias("second"), *nothing)
-    further = lookup.unionByName(summed.where("kind = 3")).groupBy("part").applyInPandas(contexts, packed)
+    further = each_part(lookup.unionByName(summed.where("kind = 3")), word_parts, contexts, packed)
 
     def gather(key, pdf):
         base = pdf[pdf["kind"] == 0]
         ids, n, valid = np.frombuffer(base["ids"].iloc[0], np.int64), np.frombuffer(base["sizes"].iloc[0], np.int64), np.frombuffer(base["first"].iloc[0], bool)
-        total = np.zeros(len(ids))
-        for x in pdf.loc[pdf["kind"] == 2, "ids"]:
-            total += np.frombuffer(x, np.float64)
+        times, texts = np.frombuffer(base["second"].iloc[0], np.int64).reshape(2, -1)
+        total = np.zeros(len(ids) + len(times))
+        added = pdf[pdf["kind"] == 2]
+        for x, places in zip(added["ids"], added["sizes"]):
+            x = np.frombuffer(x, np.float64)
+            total[restored(places, len(x))] += x
+        text, number = np.frombuffer(base["more"].iloc[0], np.uint32).reshape(2, -1)
+        each = total[len(ids) :] / times
+        total = (total[: len(ids)] + np.bincount(text, weights=np.repeat(each, texts) * number, minlength=len(ids))) / len(base)
         doc = pd.Series(ids, dtype="Int64").where(pd.Series(valid))
-        one = pd.DataFrame({"doc_id": doc, "n_words": n, "score": total / len(base)})
+        one = pd.DataFrame({"doc_id": doc, "n_words": n, "score": total, "per_word": total / np.maximum(n, 1)})
         return pd.concat([one] * len(base))  # pieces that are alike in all are summed together
 
     pieces = exploded.where("kind = 0").unionByName(summed.where("kind = 2")).unionByName(further)
-    return pieces.groupBy("piece").applyInPandas(gather, "doc_id long, n_words long, score double")
+    return pieces.groupBy("piece").applyInPandas(gather, "doc_id long, n_words long, score double, per_word double")

@@ -30,7 +30,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_texts(_documents(spark, sf_dir))
-    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"))
+    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("per_word", 4).alias("per_word"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ scored as (
   select per.r, per.n * case when bi.c >= 2 then ln(bi.c::double) - ln(a.c::double) else ln(0.4::double) + ln(b.c::double) - ln((select c from total)::double) end as s
   from per join bi on per.v = bi.v and per.w = bi.w join uni a on a.w = per.v join uni b on b.w = per.w),
 sums as (select r, sum(s) as s from scored group by r)
-select doc_id, len(ws)::bigint as n_words, coalesce(round(s, 4), 0.0::double) as score from t left join sums using (r)
+select doc_id, len(ws)::bigint as n_words, coalesce(round(s, 4), 0.0::double) as score, coalesce(round(s / len(ws), 4), 0.0::double) as per_word from t left join sums using (r)
 """
 
 _OP2 = r"""

@@ -87,3 +87,15 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most_bytes, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def compact(numbers: np.ndarray) -> bytes:
+    """Ascending numbers by their steps, in one, two or four bytes each, as the largest step needs."""
+    steps = np.diff(numbers, prepend=0)
+    most = steps.max(initial=0)
+    return steps.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def restored(steps: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``compact``."""
+    return np.cumsum(np.frombuffer(steps, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(steps) // n if n else 1]).astype(np.int64))
