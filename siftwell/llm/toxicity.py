@@ -35,6 +35,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import itertools
 import unicodedata
 from dataclasses import dataclass
@@ -62,6 +63,7 @@ def kind(point: int) -> int:
 
 _KIND = np.array([kind(c) for c in range(1 << 16)], dtype=np.uint8)
 FOLDS = 3
+BIN_BITS = 14  # bins of the hash that labelled rows are sampled by
 
 
 def points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,8 +341,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if learn is not None:
         known = known.where(learn)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("toxic = 1").orderBy(*order).limit(most_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(most_clean))
+    # The first rows of either label by a hash of the id, as many bins of it as the bound holds: no sort, no task that gets them all.
+    known = stored(known.withColumn("bin", F.shiftright(F.xxhash64("doc_id"), 64 - BIN_BITS)), "toxicity-labels")
+    least = {1: most_toxic, 0: most_clean}
+    upto, seen = {}, {0: 0, 1: 0}
+    for b, label, n in known.groupBy("bin", "toxic").agg(F.count("*")).where("toxic in (0, 1)").orderBy("bin").collect():
+        seen[label] += n
+        if seen[label] <= least[label]:
+            upto[label] = b
+        else:
+            least[label] = -1  # a later, smaller bin doesn't go in either
+    chosen = [(F.col("toxic") == label) & (F.col("bin") <= b) for label, b in upto.items()]
+    sample = known.where(functools.reduce(lambda x, y: x | y, chosen, F.lit(False))).select("doc_id", "toxic")
     # The sample has a bound, so it may be broadcast: 12,000 rows of 12 bytes.
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(stored(sample, "toxicity-sample")), "doc_id")
     texts = stored(texts.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "toxicity-texts")
