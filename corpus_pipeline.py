@@ -2,6 +2,19 @@
 
 Each stage gets what its predecessor kept, written as Parquet to the shared folder and read
 again.  All but the last return the columns of ``documents``.
+
+Defined results
+- toxicity: null and empty texts are scored like texts without any marker, and stay if that is
+  below 0.5; labels that are null are ignored; without labels nothing is toxic.
+- exact_dedup: null and empty texts are equal, one row stays; so does one row of those that
+  repeat id and text.  A null id is smaller than any other.
+- ngram_jaccard_join: texts without words link with nothing; rows without an id stay; of rows
+  that repeat an id with different texts all go or stay together.
+- mixing: documents without words are left out, as nothing can be taken of them; a null
+  source is a source of its own.
+- packing: a row for each stretch, whatever its length.
+- Other columns, whatever their names, go through all stages but the last; empty tables give
+  an empty result.
 """
 
 from __future__ import annotations

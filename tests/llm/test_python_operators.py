@@ -143,24 +143,41 @@ def test_words_are_of_characters():
 
 
 def test_folded_table_is_the_kernel_machine():
-    """Scores by the table equal kernel values with the landmarks, brute force."""
-    names = [b"blorfo", b"blorfa", b"anertima", b"lose", b"maser", b"tier"]
-    machine = toxicity.fit(names, np.array([9.0, 7, 0, 1, 0, 0]), np.array([0.0, 0, 30, 20, 22, 25]), 10, 40, landmarks=6)
+    """Kernel values, Nystroem map, solver and folded table, against a machine on the kernel matrix by brute force."""
+    names = ["blorfo", "blorfa", "anertima", "lose", "maser", "tier", "quarnith", "quarnit", "zed", "xblorfox"]
+    held = np.array([[9.0, 7, 0, 1, 0, 0, 5, 4, 0, 2], [0.0, 0, 30, 20, 22, 25, 0, 1, 9, 0]])
+    n, cost, caution = (10, 40), 100.0, 3.0
+    machine = toxicity.fit([x.encode() for x in names], held[0], held[1], *n, landmarks=len(names), cost=cost, caution=caution)
 
     def phi(word):
         s, out = "\x01" + word + "\x02", {}
-        for at in itertools.combinations(range(len(s)), 4):
+        for at in itertools.combinations(range(len(s)), toxicity.ORDER):
             if at[-1] - at[0] < toxicity.SPAN:
                 key = "".join(s[i] for i in at)
-                out[key] = out.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] - 3)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] - 3) / toxicity.norm(len(s))
         return out
 
-    # The same subsequence in two words meets in one bucket, so a word of a landmark's parts scores as the sum of its parts.
-    one = np.frombuffer(b"blorfoxblorfo", np.uint8)
-    value = machine.words(one, np.array([0, 7]), np.array([6, 13]))
-    assert value[0] == value[1] > 0 > machine.words(np.frombuffer(b"maser", np.uint8), np.array([0]), np.array([5]))[0]
-    x = next(toxicity.by_length(np.frombuffer(b"blorfo", np.uint8), np.array([0]), np.array([6])))[1]
-    assert sum(w * b.shape[1] for b, w in toxicity.features(x)) == pytest.approx(sum(phi("blorfo").values()))
+    spectra = [phi(x) for x in names]
+    kernel = np.array([[sum(v * b.get(k, 0) for k, v in a.items()) for b in spectra] for a in spectra])
+    value, vector = np.linalg.eigh(kernel)
+    x = kernel @ vector[:, value > 1e-8] / np.sqrt(value[value > 1e-8])
+    assert np.allclose(x @ x.T, kernel)  # with all words as landmarks the map is exact
+    x = np.hstack([x, np.ones((len(names), 1))])
+    p, q, w = cost * held[0] / n[0], cost * caution * held[1] / n[1], np.zeros(x.shape[1])
+
+    def loss(w):
+        v = x @ w
+        return 0.5 * w[:-1] @ w[:-1] + 0.5e-6 * w[-1] ** 2 + 0.5 * p @ np.maximum(0, 1 - v) ** 2 + 0.5 * q @ np.maximum(0, 1 + v) ** 2
+
+    for _ in range(20_000):  # plain descent with a step from the largest curvature
+        v = x @ w
+        slope = np.append(w[:-1], 1e-6 * w[-1]) + x.T @ (q * np.maximum(0, 1 + v) - p * np.maximum(0, 1 - v))
+        w -= slope / (1 + np.linalg.norm(x.T * (p + q) @ x, 2))
+    data = np.frombuffer("".join(names).encode(), np.uint8)
+    ends = np.cumsum([0, *map(len, names)])
+    got = machine.words(data, ends[:-1], ends[1:])
+    assert got == pytest.approx(x @ w, abs=0.02) and loss(w) > 0
+    assert ((got > 0) == (held[0] > held[1])).mean() >= 0.9
 
 
 def test_toxicity_without_labels(spark, labelled):
@@ -221,6 +238,23 @@ def test_blocks_are_pruned():
     assert scored == 1 and list(who) == [0, 1, 2, 3, 4] and set(score) == {252}
 
 
+def test_top_k_of_sparse_ids_and_empty_vectors(spark):
+    """Ids far apart share blocks; empty vectors are of one length and score 0 with each other."""
+    rng = np.random.default_rng(12)
+    rows = [(i * 10**12, [float(x) for x in rng.normal(size=4).round(2)]) for i in range(-200, 200)] + [(7, []), (50, []), (100, [])]
+    found = {tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=16, blocks_per_group=2, chunk=40, slice_values=300).collect()}
+    want = set()
+    for q, v in rows:
+        if q % 50 == 0:
+            best = sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert found == want
+    from siftwell.llm.topk_search import integers, packed_runs
+
+    index = packed_runs(integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"), 2, 64, 16)
+    assert index.count() <= 403 // 64 + 5
+
+
 # --- Jaccard join ------------------------------------------------------------
 
 
@@ -265,6 +299,32 @@ def test_near_classes(spark, width, percent):
     assert {str(r.doc_id) for r in one.collect()} == want
 
 
+def test_near_classes_over_windows_and_turns(spark):
+    """Small windows, groups of chained edits that one hub doesn't cover, a passage in all texts, exact copies."""
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    passage = [rng.choice(vocabulary) for _ in range(30)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary[:20])
+        if i % 4 == 0:
+            w = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 60))] + passage
+        rows.append((i, " ".join(rows[i - 1][1].split() if i % 13 == 5 else w)))
+    want = brute_classes(rows, 4, 85)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for options in ({"window_tokens": 300}, {"window_tokens": 4000, "most_turns": 0}, {}):
+        got = near_classes(frame, width=4, percent=85, **options)
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == want
+
+
+def test_compact():
+    for numbers in ([], [0], [0, 0, 5, 255, 300], [70_000, 70_000, 140_001], [3, 1 << 20]):
+        assert list(tokens.restored(tokens.compact(np.array(numbers, np.int64)), len(numbers))) == numbers
+
+
 def test_near_classes_empty(spark):
     assert near_classes(spark.createDataFrame([], EXTRA)).count() == 0
     assert near_classes(spark.createDataFrame([(1, None, "", 1)], EXTRA)).first().component_id == 1
@@ -301,6 +361,21 @@ def test_warc(spark, tmp_path, least):
     assert warc.write_warc(pages.limit(0), str(tmp_path / "none")).count() == 0 and warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_shards_and_leftovers(spark, tmp_path):
+    """Shards are even whatever the ids; files that lost attempts left are cleared and never read."""
+    folder = tmp_path / "w"
+    folder.mkdir()
+    (folder / ".part-000000-00000.warc.gz.0123.tmp").write_bytes(b"cut sho")
+    (folder / "part-999999-00000.warc.gz").write_bytes(b"of a failed job")
+    rows = [(10**15 + i if i % 3 else i, None, f"{i % 900}" * 50) for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_warc(pages, str(folder), shard_bytes=100_000).groupBy("shard").sum("n_records").collect()
+    assert len(manifest) == -(-sum(len(h) + 512 for _, _, h in rows) // 100_000) and max(r[1] for r in manifest) < 2 * 3000 / len(manifest)
+    assert not list(folder.glob(".part-*.tmp"))
+    got = warc.read_warc(spark, str(folder)).collect()
+    assert sorted(r.page_id for r in got) == sorted(i for i, _, _ in rows) and sum(r.record_type == "revisit" for r in got) == 2100
+
+
 def test_warc_damage(spark, tmp_path):
     folder = str(tmp_path / "w")
     name = warc.write_warc(spark.createDataFrame([(1, "u", "x" * 999)], "page_id long, url string, html string"), folder).first().file
