@@ -138,6 +138,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = unigrams(rows, word_parts)
     known, known_n, n_all, n_texts = hot_words(table, min(hot, HOT))
     parts = max(word_parts, int(n_all) // part_words)
+    piece_bytes = min(32 << 20, max(4 << 20, parts << 14))  # a piece has a row for each part, so more parts take larger pieces
     sent = spark.sparkContext.broadcast((known, known_n))
 
     def codes(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Kind 0: the texts of a piece, and which of them hold its common bigrams; kind 1: its bigrams of a part, ``sizes`` their texts."""
         known, _ = sent.value
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", piece_bytes):
                 words, first = word_hashes(batch.column("text"))
                 n = np.diff(first)
                 ids = pa.array(batch.column("doc_id"), pa.int64())
@@ -258,14 +259,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def contexts(part, pdf):
         """Of a part of the unigram table: sums of -n ln c(v) by text of a piece."""
         table, asked = pdf[pdf["kind"] == 9], pdf[pdf["kind"] == 3]
-        out = []
+        found: dict[bytes, list[tuple]] = {}
         if len(asked):
             words, counts = np.frombuffer(table["first"].iloc[0], np.uint64), np.frombuffer(table["second"].iloc[0], np.int64)
             for names, sizes, v, places, n in zip(asked["ids"], asked["sizes"], asked["first"], asked["second"], asked["number"]):
                 ends = np.cumsum(np.frombuffer(sizes, np.uint32))
                 loss = -np.log(counts[np.searchsorted(words, np.frombuffer(v, np.uint64))]) * np.frombuffer(n, np.uint32)
                 places = np.frombuffer(places, np.uint32)
-                out += [sums(names[16 * i : 16 * i + 16], places[a:b], loss[a:b]) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends))]
+                for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
+                    found.setdefault(names[16 * i : 16 * i + 16], []).append((places[a:b], loss[a:b]))
+        out = []
+        for piece, each in found.items():
+            places, loss = (np.concatenate(x) for x in zip(*each))
+            order = np.argsort(places, kind="stable")
+            out.append(sums(piece, places[order], loss[order]))
         return pd.DataFrame(out, columns=columns)
 
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("more", "number")]
