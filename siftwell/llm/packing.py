@@ -1,9 +1,10 @@
 """Packing into optimal length buckets.
 
 The global histogram of lengths is the only thing that reaches the driver: lengths up to
-``exact`` have a bin each, longer ones share bins of a relative width of 1/1024, so the
-histogram has ``exact`` bins plus about a thousand for each doubling beyond it, whatever
-the number of documents.  Dynamic programming over it chooses at most ``buckets`` upper
+``exact`` (131,072) have a bin each, so bounds are optimal for them; longer ones share bins of
+a relative width of 1/1024, which costs at most a thousandth of their tokens in padding.  So
+the histogram has ``exact`` bins at most plus about a thousand for each doubling beyond it,
+whatever the number of documents.  Dynamic programming over it chooses at most ``buckets`` upper
 bounds that minimise padding; the cost is a Monge array, so each layer is solved by divide
 and conquer.  A bucket is dealt into shards by a seeded hash; in a shard, documents in
 seeded order fill batches of ``budget`` tokens (``budget // bound`` documents, one at
@@ -77,10 +78,13 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buc
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, buckets: int = 16, budget: int = 16384, exact: int = 16384, shard_rows: int = 2048, seed: str = "pack") -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, buckets: int = 16, budget: int = 16384, exact: int = 1 << 17, shard_rows: int = 2048, seed: str = "pack") -> DataFrame:
     """One row for each document: doc_id, n_tokens, bucket, padded_to, shard, batch, slot, padding."""
     length = n_words(F.col(text_col)) if length_col is None else F.coalesce(F.col(length_col), F.lit(0)).cast("long")
-    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), length.alias("n_tokens")), "pack-lengths")
+    # Rows without an id are told apart by their text, so that they don't all go to one shard.
+    plain = F.concat(F.lit("|"), F.xxhash64(*[c for c in docs.columns if c in (text_col, length_col)]).cast("string"))
+    name = F.coalesce(F.col(id_col).cast("long").cast("string"), plain)
+    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), length.alias("n_tokens"), F.when(F.col(id_col).cast("long").isNull(), name).alias("plain")), "pack-lengths")
     histogram = rows.groupBy(bin_of(F.col("n_tokens"), exact).alias("bin")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("bin").collect()
     lengths, counts, totals = (np.array([r[i] for r in histogram], dtype=np.int64) for i in range(3))
     bounds = best_bounds(lengths, counts, totals, buckets) or [0]
@@ -95,10 +99,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     capacity = [max(1, budget // max(1, b)) for b in bounds]
     # A shard holds several whole batches, so that few batches are short.
     shards = [max(1, round(n / max(shard_rows, 4 * c))) for n, c in zip(in_bucket, capacity)]
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.col("plain"))
     placed = rows.withColumn("bucket", bucket.cast("int")).withColumn("padded_to", of_bucket(bounds)).withColumn("capacity", of_bucket(capacity))
     placed = placed.withColumn("shard", seeded(name, seed=f"{seed}-shard") % of_bucket(shards))
-    turn = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(seeded(name, seed=f"{seed}-order"), "doc_id", "n_tokens")) - 1
+    turn = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(seeded(name, seed=f"{seed}-order"), "doc_id", "plain", "n_tokens")) - 1
     placed = placed.withColumn("turn", turn)
     return placed.select(
         "doc_id", "n_tokens", "bucket", "padded_to", "shard",
