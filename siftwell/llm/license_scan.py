@@ -18,7 +18,9 @@ Templates are a short fixed table, so they are literals of the plan; texts never
 
 Defined results
 - null or empty text, and units of fewer than two words: no match.
-- A template adds its best run alone to the matches, and none if a single unit matches it.
+- A template adds its best run alone to the matches, and none if a single unit matches it or a
+  template that is like it (a Dice of ``least`` or more between them), or if such a template
+  has a higher run.
 - Of equal scores the first template in the table wins, for a text the highest score.
 - One row for each row of the input, repeats and null ids included; other columns are
   ignored; an empty table gives an empty result.
@@ -73,6 +75,46 @@ TEMPLATES = {
         "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
         "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "LGPL-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. "
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+    ),
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. "
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "CC0-1.0-notice": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. "
+        "You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>."
+    ),
 }
 
 
@@ -193,7 +235,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scored = scored.withColumn("hits", F.filter(F.transform("grams", matches), lambda h: h.isNotNull()))
     # A text without a mark has no run that matches.
     scored = scored.withColumn("all", F.when(F.col("marked"), bigrams(F.col("t"))))
-    open_for = [F.when((F.size(F.array_intersect("all", F.array(*[F.lit(g) for g in own]))) >= needed(len(own), least)) & ~F.array_contains(F.transform("hits", lambda h: h["name"]), name), F.lit(name)) for name, own in table.items()]
+    # Templates that differ by a clause: what matches one of them as a unit is no run of the other.
+    alike = {a: [b for b, y in table.items() if 2 * len(set(x) & set(y)) >= least * (len(x) + len(y))] for a, x in table.items()}
+    free = lambda name, own: (F.size(F.array_intersect("all", F.array(*[F.lit(g) for g in own]))) >= needed(len(own), least)) & ~F.exists("hits", lambda h: h["name"].isin(alike[name]))
+    open_for = [F.when(free(name, own), F.lit(name)) for name, own in table.items()]
     scored = scored.withColumn("open", F.when(F.col("marked"), F.array_compact(F.array(*open_for)))).drop("all")
     scored = scored.withColumn("placed", F.when(F.size("open") > 0, placed_bigrams(F.col("t")))).drop("t")
     runs = []
@@ -201,6 +246,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         dice = F.when(F.array_contains("open", name), best_run(F.col("placed"), own, len(words_of(templates[name])) - 1, least))
         run = F.struct(dice.alias("dice"), F.lit(-place).alias("place"), F.lit(name).alias("name"))
         runs.append(F.filter(F.array(run), lambda r: r["dice"] >= least - 1e-12))
-    scored = scored.withColumn("hits", F.concat("hits", F.when(F.size("open") > 0, F.concat(*runs)).otherwise(F.slice("hits", 1, 0))))
+    scored = scored.withColumn("runs", F.when(F.size("open") > 0, F.concat(*runs)).otherwise(F.slice("hits", 1, 0))).drop("placed")
+    # A run counts for the best of the templates that are alike.
+    pairs = [f"{a}|{b}" for a, others in alike.items() for b in others if a != b]
+    if pairs:
+        beaten = lambda r: F.exists("runs", lambda h: (h["dice"] > r["dice"]) & F.concat_ws("|", r["name"], h["name"]).isin(pairs))
+        scored = scored.withColumn("runs", F.when(F.size("runs") > 0, F.filter("runs", lambda r: ~beaten(r))).otherwise(F.col("runs")))
+    scored = scored.withColumn("hits", F.concat("hits", "runs"))
     best = F.array_max("hits")
     return scored.select("doc_id", best["name"].alias("license"), F.coalesce(F.round(best["dice"], 6), F.lit(0.0)).alias("dice"), F.size("hits").cast("long").alias("n_matches"))

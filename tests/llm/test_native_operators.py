@@ -196,6 +196,17 @@ def test_licenses_in_their_layout_inside_a_long_document(spark):
     assert got[12][2] == 2 and got[11] == (None, 0.0, 0)
 
 
+def test_templates_that_are_alike(spark):
+    """Each template is found as itself, in its layout and as one line; notices that differ by a clause count once."""
+    names = [n for n in TEMPLATES if len(TEMPLATES[n]) > 150]
+    texts = [f"Title\n{f(n)}\nThe rest of it." for n in names for f in (layout, lambda n: TEMPLATES[n])]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts * 2)], "doc_id long, text string, license string, dice int")
+    got = [(r.doc_id, r.license, r.n_matches) for r in license_scan(frame).orderBy("doc_id").collect()]
+    once = [n for n in names for _ in range(2)]
+    assert [g[1] for g in got] == once * 2
+    assert all(n == 1 for (i, name, n) in got if name in ("BSD-2-Clause", "BSD-3-Clause") and i % 2 == 0)
+
+
 def test_best_bounds():
     rng = np.random.default_rng(2)
     for _ in range(30):
