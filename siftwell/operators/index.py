@@ -13,15 +13,16 @@ MOST_LINE = 4100
 SHORTEST_POSTING = 12
 
 
-def token_positions(docs: DataFrame, id_col: str = "doc_id", contents: Column | None = None) -> DataFrame:
+def token_positions(docs: DataFrame, id_col: str = "doc_id", contents: Column | None = None, dealt: bool = False) -> DataFrame:
     """(doc_id, word, pos) of the index terms; every slot counts as a position.
 
-    contents: sanitised text, by default of the column ``text``.  The documents are dealt by
-    id before they are exploded, so all that is by document later needs no further shuffle.
+    contents: sanitised text, by default of the column ``text``.  dealt: documents are dealt by id
+    before they are exploded, for a later step by document: a text is smaller than its words,
+    places and counts, and what follows needs no further shuffle.
     """
     contents = text.sanitise(text.join_lines(F.col("text"))) if contents is None else contents
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), contents.alias("contents")).repartition("doc_id")
-    slots = rows.select("doc_id", F.posexplode(text.tokens(F.col("contents"))).alias("pos", "word"))
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), contents.alias("contents"))
+    slots = (rows.repartition("doc_id") if dealt else rows).select("doc_id", F.posexplode(text.tokens(F.col("contents"))).alias("pos", "word"))
     return slots.where(text.is_index_term(F.col("word"))).select("doc_id", "word", "pos")
 
 
