@@ -7,7 +7,7 @@ share at least l tokens among the first n - ceil(percent/100 * n) + l of each.
 orders used here put tokens by how many sets hold them, fewest first, in classes of about
 a twelfth of a doubling and mixed anew within a class by each order.
 
-1. Texts are read once.  A window of about a million tokens sends each distinct token once to
+1. Texts are read once.  A window of about half a million tokens sends each distinct token once to
    the token's part, so a token that all documents hold is one entry for each window.  Copies
    within a window send theirs once.  A part adds up how many sets hold each of its tokens,
    all of them, without a cap, and returns the shared ones with their class to the windows.
@@ -49,9 +49,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import power_of, shuffle_width, stored
+from .common import drop_path, new_path, power_of, shuffle_width, stored
 from .components import components
-from .tokens import mix, slices, word_hashes
+from .tokens import compact, mix, restored, slices, word_hashes
 
 KEY = ["d1", "d2", "n"]
 ORDERS, SHARED, HUBS = 3, 5, 3
@@ -98,16 +98,6 @@ def shared_least(n: Column, percent: int) -> Column:
     return F.least(F.lit(SHARED), F.greatest(F.lit(1), small))
 
 
-def compact(numbers: np.ndarray) -> bytes:
-    """Ascending numbers below 2**16 by their steps, in one byte each if all are small."""
-    steps = np.diff(numbers, prepend=0)
-    return steps.astype(np.uint8 if steps.max(initial=0) < 256 else np.uint16).tobytes()
-
-
-def restored(steps: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(steps, np.uint8 if len(steps) == n else np.uint16).astype(np.int64))
-
-
 def low_bytes(tokens: np.ndarray) -> bytes:
     """The ``LOW`` bits of tokens, six bytes each."""
     low = tokens & np.uint64((1 << LOW) - 1)
@@ -182,7 +172,7 @@ def windows(docs: DataFrame, width: int, parts: int, window_tokens: int) -> Data
             return frame(rows)
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):  # hashing takes some sixty times a slice's bytes
                 for doc_id, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width)):
                     if sets and (size + len(own) > window_tokens or len(sets) >= MOST_SETS):
                         yield flush()
@@ -196,8 +186,8 @@ def windows(docs: DataFrame, width: int, parts: int, window_tokens: int) -> Data
     return docs.mapInArrow(run, PACKED)
 
 
-def counted(dealt: DataFrame) -> DataFrame:
-    """Kind 0 as it is; kind 2: of a part, a window's shared tokens (a, b: of one of its sets; c: of several) with their class (d)."""
+def counted(dealt: DataFrame, parts: int) -> DataFrame:
+    """Each part in a task of its own.  Kind 0 as it is; kind 2: of a part, a window's shared tokens (a, b: of one of its sets; c: of several) with their class (d)."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_numpy()
@@ -223,7 +213,12 @@ def counted(dealt: DataFrame) -> DataFrame:
             out.append(pa.Table.from_batches([frame(rows)]))
         return pa.concat_tables([x.cast(pa.schema(list(zip(FIELDS, TYPES)))) for x in out])
 
-    return dealt.groupBy("part").applyInArrow(run, PACKED)
+    def whole(batches):
+        held = [b for b in batches if len(b)]
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(whole, PACKED)
 
 
 PREFIXES = [f"p{k}" for k in range(ORDERS)]
@@ -321,12 +316,20 @@ def merged(named: DataFrame, links: DataFrame) -> DataFrame:
     return stored(named.join(after, "label", "left").select("d1", "n", F.coalesce("after", "label").alias("label")), "join-labels")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, window_tokens: int = 1_000_000, most_runs: int = 4096, most_turns: int = 8) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, window_tokens: int = 1 << 19, most_runs: int = 4096, most_turns: int = 8) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = min(MOST_PARTS, max(16, 2 * shuffle_width(spark)))
-    found = stored(shared_sets(counted(windows(rows, width, parts, window_tokens)), percent, parts), "join-sets", by=["kind"])
+    sets_path = new_path(spark, "join-sets")
+    spent = [f"{sets_path}/kind=1"]
+
+    def held(df: DataFrame, tag: str) -> DataFrame:
+        """Stored until all links are found."""
+        spent.append(new_path(spark, tag))
+        return stored(df, tag, spent[-1])
+
+    found = stored(shared_sets(counted(windows(rows, width, parts, window_tokens), parts), percent, parts), "join-sets", sets_path, by=["kind"])
 
     # Classes of equal sets; a large one is spread over runs of ids on the way back.
     runs = power_of(4, max(64, shuffle_width(spark)), most_runs)
@@ -334,30 +337,30 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_run = own.where("n > 0 and doc_id is not null").groupBy("run", *KEY).agg(F.min("doc_id").alias("node"))
     classes = stored(by_run.groupBy(*KEY).agg(F.min("node").alias("node")), "join-classes")
 
-    sets = stored(found.where("kind = 1").select("d1", "n", "alone", "lead", "tokens", *PREFIXES).dropDuplicates(["d1", "n"]), "join-nodes")
+    sets = held(found.where("kind = 1").select("d1", "n", "alone", "lead", "tokens", *PREFIXES).dropDuplicates(["d1", "n"]), "join-nodes")
     index = sets.select("d1", "n", "alone", F.posexplode(F.slice(PREFIXES[0], F.lit(1), F.col("lead"))).alias("pos", "token")).select("d1", "n", "alone", (F.col("alone") + F.col("pos")).alias("at"), "token")
     # Hubs and main components are tables of their own, so that Spark can split a hot bucket's rows in the joins with them.
     hubs = index.groupBy("token").agg(F.count("*").alias("nodes"), F.min(F.struct("alone", "d1", "n", "at")).alias("hub")).where("nodes > 1")
-    hubs = stored(hubs.select("token", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("d1", "n", "at")]), "join-hubs")
-    buckets = stored(index.join(hubs, "token"), "join-buckets")
+    hubs = held(hubs.select("token", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("d1", "n", "at")]), "join-hubs")
+    buckets = held(index.join(hubs, "token"), "join-buckets")
     first = buckets.where(((F.col("d1") != F.col("hub_d1")) | (F.col("n") != F.col("hub_n"))) & fits("", "hub_", percent))
-    links = stored(verified(first.select(*ordered("", "hub_")).distinct(), sets, percent), "join-links")
+    links = held(verified(first.select(*ordered("", "hub_")).distinct(), sets, percent), "join-links")
     named = merged(classes.select("d1", "n", F.col("node").alias("label")), links)
 
     rows, known, turn = buckets.count(), buckets.select("token", "d1", "n", "at"), 0
     while True:
         known = known.join(named, ["d1", "n"])
         main = known.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("nodes"), F.max(F.struct("c", "label")).alias("most"))
-        main = stored(main.where("labels > 1").select("token", "nodes", F.col("most.label").alias("main")), "join-main")
-        known = stored(known.join(main, "token"), "join-known")
+        main = held(main.where("labels > 1").select("token", "nodes", F.col("most.label").alias("main")), "join-main")
+        known = held(known.join(main, "token"), "join-known")
         pairs = known.agg(F.sum(F.when(F.col("label") != F.col("main"), F.col("nodes")))).first()[0] or 0
         if pairs <= rows or turn == most_turns:
             break
         picked = [F.min(F.struct(F.xxhash64("d1", "n", F.lit(HUBS * turn + k)).alias("by"), "d1", "n", "at")) for k in range(HUBS)]
-        more_hubs = stored(known.where("label = main").groupBy("token").agg(F.array(*picked).alias("hubs")), "join-hubs")
+        more_hubs = held(known.where("label = main").groupBy("token").agg(F.array(*picked).alias("hubs")), "join-hubs")
         asked = known.where("label <> main").join(more_hubs, "token").select("d1", "n", "at", F.explode("hubs").alias("hub"))
         asked = asked.select("d1", "n", "at", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("d1", "n", "at")]).where(fits("", "hub_", percent))
-        more = stored(verified(asked.select(*ordered("", "hub_")).distinct(), sets, percent), "join-more-links")
+        more = held(verified(asked.select(*ordered("", "hub_")).distinct(), sets, percent), "join-more-links")
         if more.isEmpty():
             break
         named, known, turn = merged(named, more), known.select("token", "d1", "n", "at"), turn + 1
@@ -369,10 +372,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = side("a").join(outside, "token").where((F.col("a_label") != F.col("b_label")) & ((F.col("a_label") == F.col("a_main")) | (F.col("a_d1") < F.col("b_d1"))) & fits("a_", "b_", percent))
     both = F.array(F.array_intersect(f"a_{PREFIXES[0]}", f"b_{PREFIXES[0]}"))
     met = met.where(F.exists(both, lambda x: (F.get(x, F.lit(0)) == F.col("token")) & (F.size(x) >= shared_least(F.least("a_n", "b_n"), percent))))
-    more = stored(verified(met.select(*ordered("a_", "b_")).distinct(), sets, percent), "join-more-links")
+    more = held(verified(met.select(*ordered("a_", "b_")).distinct(), sets, percent), "join-more-links")
     if not more.isEmpty():
         named = merged(named, more)
 
+    for path in spent:
+        drop_path(spark, path)
     labels = named.withColumnRenamed("label", "component_id")
     spread = by_run.select("run", *KEY).join(labels, ["d1", "n"])
     done = own.where("n > 0 and doc_id is not null").join(spread, ["run", *KEY]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
