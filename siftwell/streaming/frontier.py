@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +32,18 @@ def crawl_delay(requests: DataFrame, delay_ms: int) -> DataFrame:
     """A stream (request_id, domain, at_ms) to (request_id, domain, at_ms, release_ms).
 
     A domain's requests are released in order of their times, each at least ``delay_ms``
-    after the one before; the last release is the domain's state.
+    after the one before; the last release is the domain's state, one number for each domain.
     """
 
     def release(key, batches, state: GroupState):
-        last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["at_ms", "request_id"])
-        times = []
-        for at in rows["at_ms"].tolist():
-            last = at if last is None else max(at, last + delay_ms)
-            times.append(last)
-        state.update((last,))
+        # release(i) is the largest of at(j) + (i - j) * delay over all j up to i, and of the last release before.
+        step = np.arange(1, len(rows) + 1) * delay_ms
+        times = rows["at_ms"].to_numpy() - step
+        if state.exists:
+            times[0] = max(times[0], state.get[0])
+        times = np.maximum.accumulate(times) + step
+        state.update((int(times[-1]),))
         yield rows.assign(release_ms=times)[["request_id", "domain", "at_ms", "release_ms"]]
 
     return requests.groupBy("domain").applyInPandasWithState(release, "request_id long, domain string, at_ms long, release_ms long", "last long", "append", GroupStateTimeout.NoTimeout)

@@ -46,3 +46,19 @@ def test_queues_take_turns_over_two_runs(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
         frontier.run_once(frontier.queues(spark.readStream.schema(schema).parquet(inbox)), out, state)
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(1, "a", "/1"), (1, "b", "/1"), (2, "a", "/2"), (2, "b", "/2"), (3, "a", "/3")]
+
+
+def test_crawl_delay_over_two_runs(spark, tmp_path):
+    """Against a walk over the requests."""
+    schema = "request_id long, domain string, at_ms long"
+    runs = [[(1, "a", 0), (2, "a", 5), (3, "b", 100), (4, "a", 400)], [(5, "a", 10), (6, "a", 900), (7, "b", 100)]]
+    want, last = set(), {}
+    for rows in runs:
+        for i, d, at in sorted(rows, key=lambda r: (r[2], r[0])):
+            last[d] = at if d not in last else max(at, last[d] + 50)
+            want.add((i, d, at, last[d]))
+    inbox, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        frontier.run_once(frontier.crawl_delay(spark.readStream.schema(schema).parquet(inbox), 50), out, state)
+    assert {tuple(r) for r in spark.read.parquet(out).collect()} == want
