@@ -120,6 +120,17 @@ def test_mixed_documents(docs):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_mixed_documents_with_null_ids(docs):
+    """Rows without an id are taken from as all others are; the words taken of each id are those of the mix."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    got, want = {}, {}
+    for r in mixed_documents(docs).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(words(r.text))
+    for r in mix_sources(docs).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert got == {k: v for k, v in want.items() if v} and None in want
+
+
 def test_sainte_lague(spark):
     from siftwell.llm.mixing import apportion
 
@@ -207,6 +218,15 @@ def test_templates_that_are_alike(spark):
     assert all(n == 1 for (i, name, n) in got if name in ("BSD-2-Clause", "BSD-3-Clause") and i % 2 == 0)
 
 
+def test_packing_of_rows_without_ids(spark):
+    """They go to many shards by their text, and equal rows are interchangeable."""
+    rows = [(None, " ".join(["w"] * (i % 5 + 1)) + f" {i}", "x", 1) for i in range(600)] + [(None, "same text", "x", 1)] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, bucket string, shard int")
+    got = packing.pack(frame, shard_rows=20, budget=16).collect()
+    assert len(got) == 603 and all(r.doc_id is None for r in got) and len({(r.bucket, r.shard) for r in got}) > 8
+    assert len({(r.bucket, r.shard, r.batch, r.slot) for r in got}) == 603
+
+
 def test_best_bounds():
     rng = np.random.default_rng(2)
     for _ in range(30):

@@ -180,6 +180,22 @@ def test_folded_table_is_the_kernel_machine():
     assert ((got > 0) == (held[0] > held[1])).mean() >= 0.9
 
 
+def test_toxicity_of_repeated_rows_and_ties(spark, labelled):
+    """Rows that repeat get equal scores, each its own row; labels that repeat or differ count once, as toxic."""
+    docs, labels, truth = labelled
+    twice = labels.union(labels).union(labels.where("doc_id = 5").selectExpr("doc_id", "0 as toxic"))
+    one, two = toxicity.train(docs, labels), toxicity.train(docs, twice)
+    assert one.bias == two.bias and (one.table == two.table).all() and one.curve == two.curve
+    some = docs.where("doc_id < 20")
+    rows = toxicity.score(some.union(some).union(some.selectExpr("null", "text", "token", "n")), one).collect()
+    assert len(rows) == 60
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r.doc_id, []).append(r.score)
+    assert all(len(v) == 2 and v[0] == v[1] for k, v in by_id.items() if k is not None)
+    assert sorted(by_id[None]) == sorted(v[0] for k, v in by_id.items() if k is not None)
+
+
 def test_toxicity_without_labels(spark, labelled):
     docs, labels, _ = labelled
     for some, share in ((labels.limit(0), 0.0), (labels.where("toxic = 1"), 1.0)):
