@@ -62,7 +62,7 @@ def kind(point: int) -> int:
 
 
 _KIND = np.array([kind(c) for c in range(1 << 16)], dtype=np.uint8)
-FOLDS = 3
+FOLDS, SLICE = 3, 2 << 20  # bytes of text that are scored at a time
 BIN_BITS = 14  # bins of the hash that labelled rows are sampled by
 
 
@@ -359,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
 
     def count(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 data, starts, stops, row = words(batch.column("text"))
                 if not len(starts):
                     continue
@@ -402,7 +402,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
 
     def unseen(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 fold = batch.column("fold").to_numpy()
                 top, number = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
                 for k in range(FOLDS):
@@ -424,7 +424,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     def run(batches):
         own = Machine(*sent.value)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 top, number, name = own.texts(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.score(top, number)), pa.array(number), pa.array(name, pa.string())], ["doc_id", "score", "n_toxic", "worst"])
 
@@ -438,7 +438,7 @@ def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text", least:
     def run(batches):
         own = Machine(*sent.value)
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SLICE):
                 top, number, _ = own.texts(batch.column(text_col))
                 yield batch.filter(pa.array(own.score(top, number) < least))
 
