@@ -22,7 +22,7 @@ def main(args: list[str]) -> int:
     spark = get_session()
     if args[0] in ("index", "lines"):
         docs = spark.read.parquet(args[1])
-        rows = index.postings(index.term_frequencies(index.token_positions(docs, dealt=True)), docs.count(), "reference" if args[0] == "lines" else "intended")
+        rows = index.postings(index.document_frequency_rows(docs), docs.count(), "reference" if args[0] == "lines" else "intended")
         if args[0] == "index":
             writers.write_index(rows, args[2])
         else:
