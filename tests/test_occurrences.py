@@ -49,3 +49,14 @@ def test_no_shuffle_of_words(spark, tmp_path):
     for name in ("term_freq_lines", "parse_tf_lines"):
         found = plan(catalog.queries()[name](spark, str(tmp_path)))
         assert not any(x in found for x in ("Exchange", "Sort", "Window", "Aggregate")), name
+
+
+def test_frequency_files_write_once(spark, tmp_path):
+    """Lines of the documents of a folder are written by one stage of one task for each part of the input."""
+    from siftwell.sources import writers
+
+    spark.createDataFrame([(i, "b c b") for i in range(40)], "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "in"))
+    frequencies = index.document_frequency_rows(spark.read.parquet(str(tmp_path / "in")))
+    assert "Exchange" not in plan(frequencies)
+    writers.write_term_frequencies(frequencies, str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(f"{w}:{i}:{tf}:{p}" for i in range(40) for w, tf, p in (("b", "1.00000", "0,2"), ("c", "0.70000", "1")))
