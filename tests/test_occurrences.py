@@ -60,3 +60,9 @@ def test_frequency_files_write_once(spark, tmp_path):
     assert "Exchange" not in plan(frequencies)
     writers.write_term_frequencies(frequencies, str(tmp_path / "out"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(f"{w}:{i}:{tf}:{p}" for i in range(40) for w, tf, p in (("b", "1.00000", "0,2"), ("c", "0.70000", "1")))
+
+
+def test_term_freq_lines_of_repeated_ids(spark, docs, counted):
+    """Ids that repeat are the only reason to move texts; lines are those of exploded words."""
+    few = index.term_frequency_lines(index.document_frequency_rows(docs))
+    assert rows(few, "value") == rows(index.term_frequency_lines(counted), "value") and "Exchange" in plan(few)
