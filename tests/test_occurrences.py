@@ -66,3 +66,36 @@ def test_term_freq_lines_of_repeated_ids(spark, docs, counted):
     """Ids that repeat are the only reason to move texts; lines are those of exploded words."""
     few = index.term_frequency_lines(index.document_frequency_rows(docs))
     assert rows(few, "value") == rows(index.term_frequency_lines(counted), "value") and "Exchange" in plan(few)
+
+
+@pytest.fixture(scope="module")
+def posted(counted):
+    return {s: index.postings(counted, len(ODD), s).cache() for s in ("reference", "intended")}
+
+
+@pytest.mark.parametrize("size, row", [(16 << 20, 512), (16 << 20, 3), (40, 512)])
+def test_packed_round_trip(monkeypatch, docs, counted, size, row):
+    monkeypatch.setattr(occurrences, "PACKED_SLICE", size)
+    monkeypatch.setattr(occurrences, "PACKED_ROW", row)
+    monkeypatch.setattr(occurrences, "UNPACKED", 100)
+    packed = occurrences.packed(index.whole(docs))
+    assert packed.agg(F.max("k")).first()[0] <= row
+    assert rows(occurrences.unpack(packed), "word", "doc_id", "n", "positions") == rows(counted, "word", "doc_id", "n", "positions")
+
+
+@pytest.mark.parametrize("semantics", ["reference", "intended"])
+def test_document_postings(docs, posted, semantics):
+    ours = index.document_postings(docs, len(ODD), semantics)
+    cols = "word", "doc_id", "tfidf", "positions", "df"
+    assert rows(ours, *cols) == rows(posted[semantics], *cols)
+    # No posting is shuffled or sorted on its own: what is above the unpacking only computes.
+    top = plan(ours).split("MapInArrow")[0]
+    assert "Exchange" not in top and "Sort" not in top and "MapInArrow" in plan(ours)
+
+
+def test_index_is_written_without_another_shuffle(spark, docs, posted, tmp_path):
+    from siftwell.sources import writers
+
+    writers.write_index(index.document_postings(docs, len(ODD), positions=False), str(tmp_path / "index"), by_word=True)
+    cols = "word", "doc_id", "tfidf"
+    assert rows(spark.read.parquet(str(tmp_path / "index")), *cols) == rows(posted["intended"], *cols)
