@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import index, occurrences
+from siftwell.plans import catalog
 
 # Repeated, null and missing ids and texts, empty slots, all kinds of white space, characters that go.
 ODD = [(1, "b b c c c"), (1, "c  b\tz"), (2, None), (3, ""), (4, "the www.x.y is"), (None, "b q"), (None, "b"), (5, " \t x\x0by \x0c"), (6, "Zoé café 日本 a-b x\r\ny"), (7, "w " * 3000 + "v")]
@@ -99,3 +100,16 @@ def test_index_is_written_without_another_shuffle(spark, docs, posted, tmp_path)
     writers.write_index(index.document_postings(docs, len(ODD), positions=False), str(tmp_path / "index"), by_word=True)
     cols = "word", "doc_id", "tfidf"
     assert rows(spark.read.parquet(str(tmp_path / "index")), *cols) == rows(posted["intended"], *cols)
+
+
+@pytest.fixture(scope="module")
+def few(spark, tmp_path_factory):
+    """A folder with 40 documents, each of its own id."""
+    folder = tmp_path_factory.mktemp("few")
+    spark.createDataFrame([(i, f"b c b er tion w{i % 9}") for i in range(40)], "doc_id long, text string").repartition(8).write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_postings_textbook_plan(spark, few):
+    top = plan(catalog.postings_textbook(spark, few)).split("MapInArrow")[0]
+    assert not any(x in top for x in ("Exchange", "Sort", "Join"))
