@@ -113,3 +113,8 @@ def few(spark, tmp_path_factory):
 def test_postings_textbook_plan(spark, few):
     top = plan(catalog.postings_textbook(spark, few)).split("MapInArrow")[0]
     assert not any(x in top for x in ("Exchange", "Sort", "Join"))
+
+
+def test_search_looks_words_up_before_unpacking(spark, few):
+    top, _, below = plan(catalog.search_tfidf_top500(spark, few)).partition("MapInArrow")
+    assert "LeftSemi" in below and "LeftSemi" not in top
