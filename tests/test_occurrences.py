@@ -118,3 +118,9 @@ def test_postings_textbook_plan(spark, few):
 def test_search_looks_words_up_before_unpacking(spark, few):
     top, _, below = plan(catalog.search_tfidf_top500(spark, few)).partition("MapInArrow")
     assert "LeftSemi" in below and "LeftSemi" not in top
+
+
+def test_posting_lines_are_made_where_packed_rows_met(spark, few, docs, posted):
+    assert "Exchange" not in plan(catalog.posting_lines_pruned(spark, few)).split("MapInArrow")[0]
+    for most in (40, 300, index.MOST_LINE):
+        assert rows(index.document_posting_lines(docs, len(ODD), "reference", most), "word", "line") == rows(index.posting_lines(posted["reference"], most), "word", "line")
