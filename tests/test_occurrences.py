@@ -124,3 +124,7 @@ def test_posting_lines_are_made_where_packed_rows_met(spark, few, docs, posted):
     assert "Exchange" not in plan(catalog.posting_lines_pruned(spark, few)).split("MapInArrow")[0]
     for most in (40, 300, index.MOST_LINE):
         assert rows(index.document_posting_lines(docs, len(ODD), "reference", most), "word", "line") == rows(index.posting_lines(posted["reference"], most), "word", "line")
+
+
+def test_posting_lines_parsed_plan(spark, few):
+    assert "Exchange" not in plan(catalog.posting_lines_parsed(spark, few)).split("MapInArrow")[0]
