@@ -128,3 +128,8 @@ def test_posting_lines_are_made_where_packed_rows_met(spark, few, docs, posted):
 
 def test_posting_lines_parsed_plan(spark, few):
     assert "Exchange" not in plan(catalog.posting_lines_parsed(spark, few)).split("MapInArrow")[0]
+
+
+def test_postings_ref_plan(spark, few):
+    top = plan(catalog.postings_ref(spark, few)).split("MapInArrow")[0]
+    assert not any(x in top for x in ("Exchange", "Sort", "Join"))
