@@ -133,3 +133,13 @@ def test_posting_lines_parsed_plan(spark, few):
 def test_postings_ref_plan(spark, few):
     top = plan(catalog.postings_ref(spark, few)).split("MapInArrow")[0]
     assert not any(x in top for x in ("Exchange", "Sort", "Join"))
+
+
+def test_posting_files_of_packed_rows(spark, docs, posted, tmp_path):
+    from siftwell.sources import readers, writers
+
+    writers.write_posting_lines(index.document_posting_lines(docs, len(ODD), "reference"), str(tmp_path / "lines"))
+    kept = {r.word for r in index.posting_lines(posted["reference"]).collect()}
+    cols = "word", "doc_id", "tfidf", "positions"
+    held = posted["reference"].where(F.col("word").isin(*kept) & F.col("doc_id").isNotNull())
+    assert rows(readers.posting_files(spark, str(tmp_path / "lines")).where("doc_id rlike '^[0-9]+$'"), *cols) == rows(held, *cols)
