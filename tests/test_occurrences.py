@@ -143,3 +143,9 @@ def test_posting_files_of_packed_rows(spark, docs, posted, tmp_path):
     cols = "word", "doc_id", "tfidf", "positions"
     held = posted["reference"].where(F.col("word").isin(*kept) & F.col("doc_id").isNotNull())
     assert rows(readers.posting_files(spark, str(tmp_path / "lines")).where("doc_id rlike '^[0-9]+$'"), *cols) == rows(held, *cols)
+
+
+def test_word_counts_without_windows(spark, few, docs, counted):
+    found = plan(catalog.doc_freq_idf(spark, few))
+    assert not any(x in found for x in ("Generate", "Window", "Sort"))
+    assert rows(index.document_word_counts(docs, len(ODD)), "word", "df", "idf") == rows(index.document_frequencies(counted, len(ODD)), "word", "df", "idf")
