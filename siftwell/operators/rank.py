@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from .storage import cut
 
+TOGETHER = 500
+
 
 def edges_of(adjacency: DataFrame) -> DataFrame:
     """(src, dsts) to (src, dst), repeated targets kept."""
@@ -21,14 +23,17 @@ def pagerank(edges: DataFrame, iterations: int = 100, semantics: str = "intended
     incoming links drop out after a step, and pages without links hold a rank but hand
     nothing on.  reference: plain sums; intended: sums damped by ``alpha``.  With ``tol``
     the steps end when no rank moves by more.  Links go to one hash layout that all steps
-    share, and lineage is cut ``every`` so many steps.
+    share, about TOGETHER of a page in a row: a step sorts and joins these rows, not
+    the links.  Lineage is cut ``every`` so many steps.
     """
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    # Parallel links are one row with their number, so a step shuffles each link once.
-    links = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(degree, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("share")).repartition("src"))
-    ranks = degree.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
+    # Parallel links are one entry with their number, so a step hands on each link once.
+    shares = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(degree, "src").withColumn("part", F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / TOGETHER)))
+    entry = F.struct("dst", (F.col("n") / F.col("degree")).alias("share"))
+    links = cut(shares.groupBy("src", "part").agg(F.collect_list(entry).alias("out")).select("src", "out").repartition("src"))
+    ranks = links.select(F.col("src").alias("id"), F.lit(1.0).alias("rank")).distinct()
     for i in range(1, iterations + 1):
-        given = links.join(ranks, F.col("src") == F.col("id")).select("dst", (F.col("rank") * F.col("share")).alias("part"))
+        given = links.join(ranks, F.col("src") == F.col("id")).select("rank", F.inline("out")).select("dst", (F.col("rank") * F.col("share")).alias("part"))
         total = F.sum("part")
         new = given.groupBy("dst").agg((scoring.damp(total, alpha) if semantics == "intended" else total).alias("rank")).withColumnRenamed("dst", "id")
         if tol is not None or i % every == 0 and i < iterations:
