@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions import scoring
+from .occurrences import first_of, lists
 from .storage import cut
 
-TOGETHER = 500
+# Links of a page in a row at most, and links that are put together at once.
+TOGETHER, SLICE = 500, 2 << 20
 
 
 def edges_of(adjacency: DataFrame) -> DataFrame:
@@ -16,6 +23,40 @@ def edges_of(adjacency: DataFrame) -> DataFrame:
     return adjacency.select("src", F.explode("dsts").alias("dst"))
 
 
+def gathered(edges: DataFrame) -> DataFrame:
+    """(src, n, out) of (src, dst): n links of a page; out: TOGETHER (dst, n) at most, n parallel links.
+
+    Links move once; a slice of those that a task gets is sorted and packed in Arrow, so a page has a
+    row or more for each slice, and memory does not grow with the links of a page.
+    """
+    entry = StructType([StructField("dst", edges.schema["dst"].dataType), StructField("n", LongType())])
+    schema = StructType([StructField("src", edges.schema["src"].dataType), StructField("n", LongType()), StructField("out", ArrayType(entry))])
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        src, dst = (table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("src", "dst"))
+        number = [x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (src, dst)]
+        key, n = np.unique(number[0] * len(dst.dictionary) + number[1], return_counts=True)
+        s, d = np.divmod(key, len(dst.dictionary))
+        first = first_of(s)
+        nth = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
+        heads = np.flatnonzero(nth % TOGETHER == 0)
+        out = pa.StructArray.from_arrays([dst.dictionary.take(pa.array(d)), pa.array(n.astype(np.int64))], ["dst", "n"])
+        return pa.RecordBatch.from_pydict({"src": src.dictionary.take(pa.array(s[heads])), "n": np.add.reduceat(n, heads).astype(np.int64), "out": lists(out, heads)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held, size = [*held, batch] if len(batch) else held, size + len(batch)
+            if size >= SLICE:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return edges.where("src is not null").select("src", "dst").repartition("src").mapInArrow(run, schema)
+
+
 def pagerank(edges: DataFrame, iterations: int = 100, semantics: str = "intended", alpha: float = 1 / 7, tol: float | None = None, every: int = 10) -> DataFrame:
     """(id, rank) after ``iterations`` steps from rank 1.0 of all pages with links.
 
@@ -23,17 +64,14 @@ def pagerank(edges: DataFrame, iterations: int = 100, semantics: str = "intended
     incoming links drop out after a step, and pages without links hold a rank but hand
     nothing on.  reference: plain sums; intended: sums damped by ``alpha``.  With ``tol``
     the steps end when no rank moves by more.  Links go to one hash layout that all steps
-    share, about TOGETHER of a page in a row: a step sorts and joins these rows, not
-    the links.  Lineage is cut ``every`` so many steps.
+    share, up to TOGETHER of a page in a row (``gathered``): a step sorts and joins these rows,
+    not the links.  Lineage is cut ``every`` so many steps.
     """
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    # Parallel links are one entry with their number, so a step hands on each link once.
-    shares = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(degree, "src").withColumn("part", F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / TOGETHER)))
-    entry = F.struct("dst", (F.col("n") / F.col("degree")).alias("share"))
-    links = cut(shares.groupBy("src", "part").agg(F.collect_list(entry).alias("out")).select("src", "out").repartition("src"))
+    degree = F.sum("n").over(Window.partitionBy("src"))
+    links = cut(gathered(edges).select("src", degree.alias("degree"), "out"))
     ranks = links.select(F.col("src").alias("id"), F.lit(1.0).alias("rank")).distinct()
     for i in range(1, iterations + 1):
-        given = links.join(ranks, F.col("src") == F.col("id")).select("rank", F.inline("out")).select("dst", (F.col("rank") * F.col("share")).alias("part"))
+        given = links.join(ranks, F.col("src") == F.col("id")).select((F.col("rank") / F.col("degree")).alias("share"), F.inline("out")).select("dst", (F.col("share") * F.col("n")).alias("part"))
         total = F.sum("part")
         new = given.groupBy("dst").agg((scoring.damp(total, alpha) if semantics == "intended" else total).alias("rank")).withColumnRenamed("dst", "id")
         if tol is not None or i % every == 0 and i < iterations:

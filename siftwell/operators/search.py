@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text, urls
+from . import index as terms_index
 
 CANDIDATES, PAGE, CACHED = 500, 10, 1000
 
@@ -107,14 +108,15 @@ class SearchEngine:
     """Searches over a written index and written ranks, with caches of postings, ranks and results.
 
     index: Parquet of (word, doc_id, tfidf) sorted by word, so a word's postings are found by the
-    statistics of a few row groups; ranks: Parquet of (fingerprint, rank, urls).  The postings
+    statistics of a few row groups; or of packed postings of ``n_docs`` documents, which are weighed
+    when their word is asked for.  ranks: Parquet of (fingerprint, rank, urls).  The postings
     of a word stay with the executors as a cached frame; the driver holds rows of ranks and of
     results, CANDIDATES for a search at most.
     """
 
-    def __init__(self, spark: SparkSession, index: str, ranks: str, semantics: str = "intended", most: int = CACHED):
-        self.spark, self.semantics = spark, semantics
-        self.index = spark.read.parquet(index).select("word", "doc_id", "tfidf")
+    def __init__(self, spark: SparkSession, index: str, ranks: str, semantics: str = "intended", most: int = CACHED, n_docs: int | None = None):
+        self.spark, self.semantics, self.n_docs = spark, semantics, n_docs
+        self.index = spark.read.parquet(index)
         self.rank_rows = spark.read.parquet(ranks)
         self.postings, self.ranks, self.results = Lru(most, lambda df: df.unpersist()), Lru(most), Lru(most)
 
@@ -125,10 +127,15 @@ class SearchEngine:
         """All results of a query, best first."""
         return self.results.get(query, lambda: self.search(self.words(query)))
 
+    def of_word(self, word: str) -> DataFrame:
+        rows = self.index.where(F.col("word") == word)
+        rows = rows if self.n_docs is None else terms_index.scored_postings(rows, self.n_docs, self.semantics, positions=False)
+        return rows.select("word", "doc_id", "tfidf")
+
     def search(self, words: list[str]) -> list[Row]:
         if not words:
             return []
-        each = [self.postings.get(w, lambda w=w: self.index.where(F.col("word") == w).persist()) for w in words]
+        each = [self.postings.get(w, lambda w=w: self.of_word(w).persist()) for w in words]
         total = functools.reduce(DataFrame.union, each).groupBy("doc_id").agg(F.sum("tfidf").alias("tfidf"))
         best = total.orderBy(F.round("tfidf", 5).desc(), "doc_id").limit(CANDIDATES).collect()
         ids = [r.doc_id for r in best]

@@ -149,3 +149,22 @@ def test_word_counts_without_windows(spark, few, docs, counted):
     found = plan(catalog.doc_freq_idf(spark, few))
     assert not any(x in found for x in ("Generate", "Window", "Sort"))
     assert rows(index.document_word_counts(docs, len(ODD)), "word", "df", "idf") == rows(index.document_frequencies(counted, len(ODD)), "word", "df", "idf")
+
+
+def test_search_of_a_packed_index(spark, docs, posted, few, tmp_path, monkeypatch):
+    """The engine's index is written packed, without a shuffle or weights; words are weighed when they are asked for."""
+    from siftwell.operators import search
+    from siftwell.sources import writers
+
+    ranks = spark.range(1, 400).select(F.col("id").alias("fingerprint"), (F.col("id") / 100.0).alias("rank"), F.array(F.concat(F.lit("http://x.y/"), F.col("id").cast("string"))).alias("urls"))
+    writers.write_ranks(ranks, str(tmp_path / "ranks"))
+    writers.write_packed_index(index.packed_postings(docs), str(tmp_path / "packed"))
+    for semantics in ("reference", "intended"):
+        engine = search.SearchEngine(spark, str(tmp_path / "packed"), str(tmp_path / "ranks"), semantics, n_docs=len(ODD))
+        want = search.search(spark, "b w3 k none", posted[semantics], ranks, 0, 500, semantics).collect()
+        assert [tuple(r) for r in engine.page("b w3 k none", 0, 500).collect()] == [tuple(r) for r in want] and want
+    told = []
+    monkeypatch.setattr(writers, "write_packed_index", lambda packed, folder: told.append(plan(packed)) or packed.write.parquet(folder))
+    monkeypatch.setattr(catalog, "rank_table", lambda spark, sf_dir: ranks)
+    catalog.search_ranked_page(spark, few)
+    assert len(told) == 1 and not any(x in told[0] for x in ("Exchange", "Join", "Aggregate"))

@@ -15,3 +15,22 @@ def test_steps_join_rows_of_many_links(spark, monkeypatch):
     sizes = {r.src: r.n for r in kept[0].groupBy("src").count().withColumnRenamed("count", "n").where("src in ('hub', 's7')").collect()}
     assert sizes["s7"] == 1 and 2 <= sizes["hub"] <= 5
     assert len(found) == 2001 and abs(found["hub"] - 1) < 1e-9 and abs(found["s7"] - 2000 * 2 / 2001) < 1e-9 and abs(found["s8"] - 2000 / 2001) < 1e-9
+
+
+def test_links_move_once(spark, monkeypatch):
+    """Links are counted and put together in slices: one exchange, no aggregation of links; slices change nothing."""
+    edges = spark.range(3000).select((F.col("id") % 7).alias("src"), (F.col("id") * 5 % 11).alias("dst")).union(spark.createDataFrame([(None, 1), (2, None)], "src long, dst long"))
+    found = rank.gathered(edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "Sort" not in plan
+    want = {(r.src, r.dst): r.n for r in edges.where("src is not null").groupBy("src", "dst").agg(F.count("*").alias("n")).collect()}
+    for size, together in ((2 << 20, 500), (100, 3)):
+        monkeypatch.setattr(rank, "SLICE", size)
+        monkeypatch.setattr(rank, "TOGETHER", together)
+        kept = rank.gathered(edges).collect()
+        assert all(len(r.out) <= together and r.n == sum(x.n for x in r.out) for r in kept)
+        sums = {}
+        for r in kept:
+            for x in r.out:
+                sums[r.src, x.dst] = sums.get((r.src, x.dst), 0) + x.n
+        assert sums == want
