@@ -168,3 +168,13 @@ def test_search_of_a_packed_index(spark, docs, posted, few, tmp_path, monkeypatc
     monkeypatch.setattr(catalog, "rank_table", lambda spark, sf_dir: ranks)
     catalog.search_ranked_page(spark, few)
     assert len(told) == 1 and not any(x in told[0] for x in ("Exchange", "Join", "Aggregate"))
+
+
+def test_search_header_counts_over_the_packed_index(spark, few, monkeypatch):
+    """The header comes from the engine of packed postings, whose documents are all counted."""
+    ranks = spark.range(40).select(F.col("id").alias("fingerprint"), (F.col("id") / 100.0).alias("rank"), F.array(F.lit("http://x.y/")).alias("urls"))
+    monkeypatch.setattr(catalog, "rank_table", lambda spark, sf_dir: ranks)
+    monkeypatch.setattr(catalog, "_engines", {})
+    assert tuple(catalog.search_header(spark, few).first()) == (40, f'Showing results for "{catalog.QUERY}"')
+    engine = catalog.engine(spark, few, "reference")
+    assert engine.n_docs == 40 and "numbers" in engine.index.columns
