@@ -145,6 +145,17 @@ def signature(grams: list[str], least: float) -> list[str]:
     return sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - needed(len(grams), least) + 1]
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of letters, digits and blanks that finds any of the words: a tree, so few of them are tried at a place."""
+    heads = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = heads.pop("", None) is not None
+    branches = [c + any_of(rest) for c, rest in heads.items()]
+    tree = branches[0] if len(branches) == 1 and not ends else f"(?:{'|'.join(branches)})" if branches else ""
+    return f"{tree}?" if ends and branches else tree
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " ")
 
@@ -211,7 +222,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = {name: bigrams_of(text) for name, text in templates.items()}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     marks = sorted({g for grams in table.values() for g in signature(grams, least)})
-    pattern = "(?:^| )(?:" + "|".join(marks) + ")(?: |$)"
+    pattern = f"(?:^| ){any_of(marks)}(?: |$)"
     widest = max(bounds(len(g), least)[1] for g in table.values())
 
     units = F.array_distinct(F.concat(F.array("t"), F.split("t", r"\n\s*\n"), F.split("t", r"\n"), F.split("t", r"[.!?]\s+|\n")))

@@ -258,3 +258,19 @@ def test_empty_tables(docs):
     none = docs.limit(0)
     for f in (exact_dedup, kept_documents, line_dedup, mix_sources, mixed_documents, license_scan, packing.pack):
         assert f(none).count() == 0, f
+
+
+def test_marks_are_tried_as_a_tree():
+    """The pattern of many words finds what their plain list finds, and does not try each of them at every place."""
+    import re
+
+    from siftwell.llm.license_scan import any_of, signature
+
+    marks = sorted({g for text in TEMPLATES.values() for g in signature(bigrams_of(text), 0.8)})
+    for words in (marks, ["a b"], ["a b", "a bc", "a"], ["ab", "ac", "abcd", "b"]):
+        tree, flat = any_of(words), "|".join(sorted(words, key=len, reverse=True))
+        assert tree.count("|") <= flat.count("|")
+        for w in [*words, *(w + "x" for w in words), *(w[:-1] for w in words), *(w[1:] for w in words), ""]:
+            assert bool(re.fullmatch(f"(?:{tree})", w)) == bool(re.fullmatch(f"(?:{flat})", w)), w
+    # Alternatives at the first letter: one for each letter that a mark begins with.
+    assert any_of(["la b", "lc d", "m n"]) == "(?:l(?:a b|c d)|m n)"
