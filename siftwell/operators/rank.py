@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -63,15 +63,17 @@ def pagerank(edges: DataFrame, iterations: int = 100, semantics: str = "intended
     A step sums rank / out-degree (parallel links count) over incoming links; pages without
     incoming links drop out after a step, and pages without links hold a rank but hand
     nothing on.  reference: plain sums; intended: sums damped by ``alpha``.  With ``tol``
-    the steps end when no rank moves by more.  Links go to one hash layout that all steps
-    share, up to TOGETHER of a page in a row (``gathered``): a step sorts and joins these rows,
-    not the links.  Lineage is cut ``every`` so many steps.
+    the steps end when no rank moves by more.  Links are put together, up to TOGETHER of a page
+    in a row (``gathered``): a step joins these rows, not the links.  What a page hands to each
+    link is worked out from its degree before that join, so that rows of links need not meet
+    their degree, which would be another shuffle of them.  Lineage is cut ``every`` so many steps.
     """
-    degree = F.sum("n").over(Window.partitionBy("src"))
-    links = cut(gathered(edges).select("src", degree.alias("degree"), "out"))
-    ranks = links.select(F.col("src").alias("id"), F.lit(1.0).alias("rank")).distinct()
+    links = cut(gathered(edges))
+    degrees = cut(links.groupBy("src").agg(F.sum("n").alias("degree")))
+    ranks = degrees.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
     for i in range(1, iterations + 1):
-        given = links.join(ranks, F.col("src") == F.col("id")).select((F.col("rank") / F.col("degree")).alias("share"), F.inline("out")).select("dst", (F.col("share") * F.col("n")).alias("part"))
+        shares = degrees.join(ranks, F.col("src") == F.col("id")).select("id", (F.col("rank") / F.col("degree")).alias("share"))
+        given = links.select("src", "out").join(shares, F.col("src") == F.col("id")).select("share", F.inline("out")).select("dst", (F.col("share") * F.col("n")).alias("part"))
         total = F.sum("part")
         new = given.groupBy("dst").agg((scoring.damp(total, alpha) if semantics == "intended" else total).alias("rank")).withColumnRenamed("dst", "id")
         if tol is not None or i % every == 0 and i < iterations:
