@@ -201,19 +201,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             1, k, piece, None, compact(text[own]), a.tobytes(), b.tobytes(),
                             v[own][a == COLD].tobytes() + w[own][b == COLD].tobytes(), np.concatenate([many, m[many]]).astype(np.uint32).tobytes(),
                         ))
-                out.append((0, None, piece, plain.tobytes(), n.astype(np.int64).tobytes(), valid.tobytes(), held[0], held[1], None))
+                out.append((0, int.from_bytes(piece[:8], "little") % parts, piece, plain.tobytes(), n.astype(np.int64).tobytes(), valid.tobytes(), held[0], held[1], None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
 
-    exploded = stored(rows.mapInArrow(explode, packed), "lm-bigrams", by=["kind"]).select(*columns)
-
     def sums(piece: bytes, text: np.ndarray, gain: np.ndarray) -> tuple:
         """A row of kind 2: sums of ``gain`` by text of a piece, for the texts that occur."""
         start = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         return (2, None, piece, np.add.reduceat(gain, start).tobytes(), compact(text[start]), None, None, None, None)
 
     def bigrams(part, pdf):
-        """Of a part: kind 2: sums by text of a piece; kind 3: (v, text, n) whose c(v) is still to be known."""
+        """Of a part: kind 0 as it came; kind 2: sums by text of a piece; kind 3: (v, text, n) whose c(v) is still to be known."""
         known, known_n = sent.value
+        out, pdf = list(pdf[pdf["kind"] == 0].itertuples(index=False, name=None)), pdf[pdf["kind"] == 1]
+        if not len(pdf):
+            return pd.DataFrame(out, columns=columns)
         v, w, n, text, size = [], [], [], [], []
         for places, first, second, more, number in zip(pdf["sizes"], pdf["first"], pdf["second"], pdf["more"], pdf["number"]):
             a, b, rest = np.frombuffer(first, np.uint16), np.frombuffer(second, np.uint16), np.frombuffer(more, np.uint64)
@@ -242,7 +243,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         with np.errstate(divide="ignore"):
             gain = n * np.where(seen, np.log(both) - np.where(above > 0, np.log(np.maximum(above, 1)), 0.0), np.log(alpha) + np.log(own) - np.log(max(1, n_all)))
         ends = np.cumsum(size)
-        out = [sums(p, text[e - s : e], gain[e - s : e]) for p, s, e in zip(pdf["piece"], size, ends)]
+        out += [sums(p, text[e - s : e], gain[e - s : e]) for p, s, e in zip(pdf["piece"], size, ends)]
         open_ = np.flatnonzero(seen & (above == 0))
         if len(open_):
             piece = np.searchsorted(ends, open_, "right")
@@ -254,7 +255,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append((3, k, None, b"".join(names[i] for i in used), count.astype(np.uint32).tobytes(), v[mine].tobytes(), places, None, n[mine].astype(np.uint32).tobytes()))
         return pd.DataFrame(out, columns=columns)
 
-    summed = stored(each_part(exploded.where("kind = 1"), parts, bigrams, packed), "lm-sums", by=["kind"]).select(*columns)
+    # Bigrams are the bulk: they move once and are not stored, so kind 0, which ``gather`` needs, passes through their parts.
+    summed = stored(each_part(rows.mapInArrow(explode, packed), parts, bigrams, packed), "lm-sums", by=["kind"]).select(*columns)
 
     def contexts(part, pdf):
         """Of a part of the unigram table: sums of -n ln c(v) by text of a piece."""
@@ -295,5 +297,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         one = pd.DataFrame({"doc_id": doc, "n_words": n, "score": total, "per_word": total / np.maximum(n, 1)})
         return pd.concat([one] * len(base))  # pieces that are alike in all are summed together
 
-    pieces = exploded.where("kind = 0").unionByName(summed.where("kind = 2")).unionByName(further)
+    pieces = summed.where("kind in (0, 2)").unionByName(further)
     return pieces.groupBy("piece").applyInPandas(gather, "doc_id long, n_words long, score double, per_word double")

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftwell.llm import tokens, toxicity, warc
+from siftwell.llm import common, lm_scoring, tokens, toxicity, warc
 from siftwell.llm.jaccard_join import near_classes, one_of_each
 from siftwell.llm.lm_scoring import score_texts
 from siftwell.llm.topk_search import top_k
@@ -72,6 +72,16 @@ def test_lm_empty(spark):
     assert score_texts(spark.createDataFrame([(1, None, "", 1)], EXTRA)).first().score == 0
 
 
+def test_lm_bigrams_are_not_stored(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lm_scoring, "stored", lambda df, *a, **b: kept.append(common.stored(df, *a, **b)) or kept[-1])
+    texts = [f"a{i} b c{i % 7} d e f{i % 3}" for i in range(300)]
+    got = score_texts(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], EXTRA), hot=2).collect()
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == [(i, round(s, 6)) for i, (_, s) in enumerate(brute_scores(texts))]
+    kinds = {r.kind for df in kept if "kind" in df.columns for r in df.select("kind").collect()}
+    assert kinds == {0, 2, 3}
+
+
 # --- toxicity ----------------------------------------------------------------
 
 
