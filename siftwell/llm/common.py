@@ -94,7 +94,7 @@ def heaviest(bins: DataFrame, most: int) -> int:
 
 
 def each_part(rows: DataFrame, parts: int, run: Callable, schema: str) -> DataFrame:
-    """``run`` (part, pandas frame) on all rows of each part (column ``part``, 0 to parts - 1), each a task of its own.
+    """``run`` (part, pandas frame) on all rows of each part (column ``part``, modulo ``parts``), each a task of its own.
 
     A group-by would hash the few part numbers, and give one task several parts and another none.
     """
@@ -103,6 +103,6 @@ def each_part(rows: DataFrame, parts: int, run: Callable, schema: str) -> DataFr
         held = [b for b in batches if len(b)]
         if held:
             pdf = pd.concat(held, ignore_index=True)
-            yield run(int(pdf["part"].iloc[0]), pdf)
+            yield run(int(pdf["part"].iloc[0]) % parts, pdf)
 
-    return rows.repartitionById(parts, F.col("part")).mapInPandas(whole, schema)
+    return rows.repartitionById(parts, F.col("part") % parts).mapInPandas(whole, schema)

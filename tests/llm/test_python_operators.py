@@ -82,6 +82,19 @@ def test_lm_bigrams_are_not_stored(spark, monkeypatch):
     assert kinds == {0, 2, 3}
 
 
+def test_lm_sums_of_many_parts(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lm_scoring, "stored", lambda df, *a, **b: kept.append(common.stored(df, *a, **b)) or kept[-1])
+    monkeypatch.setattr(lm_scoring, "TASKS", 2, raising=False)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 700}" for _ in range(120)) for _ in range(50)]
+    rows = [(i, t, "x", 1) for i, t in enumerate([*texts, texts[0]])]
+    got = score_texts(spark.createDataFrame(rows, EXTRA).repartition(2), hot=9, part_words=1 << 20).collect()
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == [(i, round(s, 6)) for i, (_, s) in enumerate(brute_scores([r[1] for r in rows]))]
+    rows_of = Counter((r.kind, bytes(r.piece or b"")) for df in kept if "kind" in df.columns for r in df.select("kind", "piece").collect())
+    assert {n for (kind, _), n in rows_of.items() if kind == 2} == {2}  # at least 16 parts, but two tasks
+
+
 # --- toxicity ----------------------------------------------------------------
 
 
